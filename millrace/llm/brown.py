@@ -150,7 +150,8 @@ def fit(docs: DataFrame, text_col: str = "text", *, classes: int = CLASSES, head
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     words = stage(map_arrow(texts, _count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     types, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = words.orderBy(F.desc("n"), "word").limit(known).toArrow().to_pydict()
+    # The end always counts as frequent, however few the texts are.
+    top = words.orderBy(F.col("word") != F.lit(END), F.desc("n"), "word").limit(max(known, 1)).toArrow().to_pydict()
     frequent = {w: n for w, n in zip(top["word"], top["n"])}
     head = [END, *[w for w in frequent if w != END][: head_units - 1]]
     size = len(head) + tail_units

@@ -75,7 +75,12 @@ def test_shards(cases, empty, law):
 def test_overfull_ranges_are_cut(spark):
     df = spark.range(0, 9000).selectExpr("id doc_id", "case when id % 3 = 0 then 'hot' else concat('t', id) end text")
     got = shards.plan(df, shards=10, rows_a_range=100).collect()
-    assert {k: v for k, v in Counter(r.shard for r in got).items() if not 850 < v < 950} == {}
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(sizes) == 10 and max(sizes.values()) - min(sizes.values()) <= 2 * max(r.size for r in got)
+    rows = Counter(r.shard for r in shards.plan(df, shards=10, law="rows", rows_a_range=100).collect())
+    assert set(rows.values()) == {900}
 
 
 def test_written_shards(spark, sf, tmp_path):
