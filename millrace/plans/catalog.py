@@ -1,4 +1,351 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Shards: 4 unless said; frames of 64; capacity 512.  Money values are summed in
+whole cents, so that results don't depend on the order of summation.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.hashing import FNV_OFFSET, FNV_PRIME, key_shard, wrapping_affine
+from ..functions.ordinals import with_position
+from ..operators import admission, apps, audit, elastic, folds, handlers, receive, routing
+from ..sources.tables import table
+from ..streaming import jobs
+
+SHARDS, FRAME, CAPACITY, HOURLY = 4, 64, 512, 24
+ROUTES = routing.Routes.from_groups([["click", "view"], ["purchase"], ["signup"]])
+
+
+def cents(column: str = "value"):
+    return F.round(F.col(column) * 100).cast("long")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events")
+
+
+def sharded(spark, sf_dir, *columns: str) -> DataFrame:
+    return routing.by_key(events(spark, sf_dir).select("event_id", "event_type", *columns), "event_type", SHARDS, "short")
+
+
+def route_key(spark, sf_dir):
+    return sharded(spark, sf_dir).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+def route_key_assignment(spark, sf_dir):
+    keys = table(spark, sf_dir, "nation").select(F.col("n_name").alias("key"))
+    keys = keys.union(table(spark, sf_dir, "orders").select("o_orderpriority")).union(events(spark, sf_dir).select("event_type")).distinct()
+    return keys.select("key", key_shard(F.col("key"), 8).alias("shard"))
+
+
+def route_key_long(spark, sf_dir):
+    """Keys beyond 16 bytes take the other hash: the same key, the same shard."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").union(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"))
+    return routing.by_key(pages, "url", 8).select("page_id", "url", "shard")
+
+
+def route_round_robin(spark, sf_dir):
+    return routing.round_robin(events(spark, sf_dir).select("event_id"), "event_id", SHARDS).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+def route_round_robin_producers(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", (F.col("user_id") % 2).alias("producer"))
+    return routing.round_robin_producers(rows, "event_id", "producer", SHARDS).groupBy("producer", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+def route_round_robin_batch(spark, sf_dir):
+    return routing.round_robin_batches(events(spark, sf_dir).select("event_id"), "event_id", SHARDS, FRAME).groupBy("shard", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+
+
+def route_group(spark, sf_dir):
+    routed = routing.by_group(events(spark, sf_dir).select("event_id", "event_type"), "event_type", ROUTES)
+    counts = routed.where("shard is not null").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    return routing.all_shards(spark, ROUTES.shards).join(counts, "shard", "left").select("shard", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def route_group_unused(spark, sf_dir):
+    return routing.unused(events(spark, sf_dir).select("event_id", "event_type"), "event_type", ROUTES)
+
+
+def route_static(spark, sf_dir):
+    return routing.static(events(spark, sf_dir).select("event_id", "user_id"), F.col("user_id"), 3).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+def shard_skew(spark, sf_dir):
+    return routing.skew(sharded(spark, sf_dir), spark, 8)
+
+
+def admit_try_send(spark, sf_dir):
+    return admission.try_send(sharded(spark, sf_dir), "event_id", CAPACITY).groupBy("shard", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+def admit_try_send_batch(spark, sf_dir):
+    batch = sharded(spark, sf_dir).where("event_id < 2000")
+    return admission.try_send_batch(batch, "event_id", CAPACITY).groupBy("shard", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+def batch_remainder_order(spark, sf_dir):
+    batch = routing.by_group(events(spark, sf_dir).select("event_id", "event_type"), "event_type", ROUTES)
+    return admission.try_send_batch(batch, "event_id", 1500).where("status <> 'accepted'").select("event_id", "shard", "status", "position")
+
+
+def batch_error(spark, sf_dir):
+    batch = sharded(spark, sf_dir).where("event_id < 2000")
+    return admission.batch_outcome(admission.try_send_batch(batch, "event_id", CAPACITY), "event_type")
+
+
+def frames(spark, sf_dir):
+    return receive.frames(sharded(spark, sf_dir), "event_id", FRAME)
+
+
+def merge_any(spark, sf_dir):
+    return receive.merge_any(sharded(spark, sf_dir), "event_id").select("event_id", "shard", "position")
+
+
+def merge_batch_any(spark, sf_dir):
+    return receive.merge_frames(sharded(spark, sf_dir), "event_id", FRAME, SHARDS).select("event_id", "shard", "frame", "position")
+
+
+def drain_fold(spark, sf_dir):
+    return folds.drain(sharded(spark, sf_dir, "value"), F.count(F.lit(1)).alias("n"), F.sum(cents()).alias("cents"), F.max("event_id").alias("max_event_id"))
+
+
+def drain_sink(spark, sf_dir):
+    made = folds.drain_frames(
+        sharded(spark, sf_dir, "value"), "event_id", FRAME,
+        [F.count(F.lit(1)).alias("n"), F.sum(cents()).alias("cents"), F.max("event_id").alias("top")],
+        [F.sum("n").alias("n"), F.count(F.lit(1)).alias("frames"), F.sum("cents").alias("cents"), F.max("top").alias("max_event_id")],
+    )
+    return made.withColumn("items_per_write", F.round(F.col("n") / F.col("frames"), 6))
+
+
+def ordered_fold(spark, sf_dir):
+    return folds.affine_fold(events(spark, sf_dir), "user_id", "event_id", F.col("event_id"), mul=31, mod=1_000_003, start=7).select("user_id", "h", "n")
+
+
+def fifo_violations(spark, sf_dir):
+    merged = receive.merge_any(sharded(spark, sf_dir), "event_id")
+    return audit.fifo_violations(merged, "event_type", "position", "event_id").select("event_id", "event_type")
+
+
+def poisoned(slot):
+    if slot.peek()["event_id"] % 7 == 0:
+        raise ValueError("multiple of seven")
+
+
+def dead_letter(spark, sf_dir):
+    made = handlers.handle(sharded(spark, sf_dir), poisoned)
+    return made.groupBy("shard", "status", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+def inserting(slot):
+    """Odd ids are inserted; even ones are rejected, multiples of 10 after the
+    item was taken."""
+    i = slot.peek()["event_id"]
+    if i % 10 == 0:
+        slot.take()
+        raise RuntimeError("rejected after take")
+    if i % 2 == 0:
+        raise RuntimeError("rejected")
+    slot.take()
+
+
+def slot_outcomes(spark, sf_dir):
+    made = handlers.handle(events(spark, sf_dir).select("event_id"), inserting)
+    return made.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+def zero_loss_audit(spark, sf_dir):
+    sent = sharded(spark, sf_dir)
+    done = handlers.classify(sent, F.col("event_id") % 7 == 0)
+    return audit.conservation(sent, done.where("status in ('processed', 'dead_letter')"), ["shard"], "event_id")
+
+
+def hourly(spark, sf_dir) -> DataFrame:
+    """(hour, queued): rows of each hour; hours count from the first."""
+    hour = F.unix_seconds(F.date_trunc("hour", F.col("ts")).cast("timestamp")) / 3600
+    return events(spark, sf_dir).groupBy(hour.cast("long").alias("hour")).agg(F.count(F.lit(1)).alias("queued"))
+
+
+def fill_ratio(spark, sf_dir):
+    return elastic.fill_ratio(hourly(spark, sf_dir), "hour", "queued", HOURLY)
+
+
+def _trace(spark, sf_dir):
+    fills = with_position(fill_ratio(spark, sf_dir), "hour", name="step").withColumn("step", F.col("step") - 1)
+    return elastic.trace(fills, "step", "fill", elastic.PoolConfig(1, 8))
+
+
+def elastic_trace(spark, sf_dir):
+    return _trace(spark, sf_dir).select("step", "active")
+
+
+def shard_ownership(spark, sf_dir):
+    return elastic.ownership(_trace(spark, sf_dir), SHARDS).groupBy("owner", "shard").agg(F.count(F.lit(1)).alias("samples"))
+
+
+def risk_filter(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    made = apps.risk_filter(orders, "o_custkey", "o_orderkey", cents("o_totalprice"), 100_000_000)
+    return made.select("o_orderkey", "o_custkey", "exposure", "accepted")
+
+
+def event_router(spark, sf_dir):
+    made = apps.event_router(events(spark, sf_dir).select("event_id", "event_type"), "event_type", "event_id", SHARDS, 3)
+    return made.groupBy("shard", "notifier").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+def heavy_transform(spark, sf_dir):
+    low = F.pmod(wrapping_affine(F.col("event_id"), 2000), F.lit(1 << 31).cast("decimal(20,0)")).cast("long")
+    return events(spark, sf_dir).select("event_id", low.alias("v"))
+
+
+SYMBOLS = ["AAPL", "MSFT", "GOOG", "AMZN", "NVDA", "META", "TSLA", "AMD", "INTC", "NFLX", "BTC", "ETH"]
+
+
+def trade_checksum(spark, sf_dir):
+    ids = events(spark, sf_dir).select(F.col("event_id").alias("id"))
+    return audit.checksum(apps.trades(ids, SYMBOLS, 4, 2500), ["s"], "t")
+
+
+def matching(spark, sf_dir):
+    """Events as orders: type picks the symbol, parity the side."""
+    rows = events(spark, sf_dir).select(
+        F.col("event_type").alias("symbol"), F.col("event_id").alias("ordinal"), F.when(F.col("user_id") % 2 == 0, "B").otherwise("S").alias("side"),
+        (F.col("event_id") * 7919 % 101).cast("double").alias("price"), (F.col("event_id") % 5 + 1).alias("qty"),
+    )
+    return apps.matching_engine(rows)
+
+
+def shard_average(spark, sf_dir):
+    rows = routing.static(events(spark, sf_dir).select("user_id", "value"), F.col("user_id"), 3)
+    return folds.drain(rows, F.count(F.lit(1)).alias("n"), F.round(F.sum(cents()) / F.count(F.lit(1)), 6).alias("avg_cents"))
+
+
+def sector(spark, sf_dir):
+    """Regions as sectors: nations are routed by an explicit map."""
+    groups = {"FRANCE": 0, "GERMANY": 0, "BRAZIL": 1, "CANADA": 1, "CHINA": 2, "INDIA": 2, "EGYPT": 3}
+    routes = routing.Routes.from_map(groups, 3)
+    return routing.by_group(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_name", routes).where("shard is not null")
+
+
+def _streamed(spark, sf_dir, files: int = 4) -> DataFrame:
+    rows = sharded(spark, sf_dir, "user_id", "value")
+    return jobs.source(spark, jobs.in_files(rows, "event_id", files), rows.schema, 1)
+
+
+def _shard_sums(df: DataFrame) -> DataFrame:
+    return df.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(cents()).alias("cents"))
+
+
+def _total(df: DataFrame) -> DataFrame:
+    return df.groupBy("shard").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
+
+
+SUMS = "shard int, n long, cents long"
+
+
+def stream_fold(spark, sf_dir):
+    return jobs.fold(_streamed(spark, sf_dir), _shard_sums, _total, SUMS)
+
+
+def stream_fifo_state(spark, sf_dir):
+    return jobs.fifo_state(_streamed(spark, sf_dir), "event_type", "event_id").select("key", "n", "last")
+
+
+def stream_stop_resume(spark, sf_dir):
+    """Stopped after two batches and started again on the same checkpoint."""
+    stream = _streamed(spark, sf_dir)
+    out, check = jobs.new_path(spark, "stream-fold"), jobs.new_path(spark, "stream-check")
+    jobs.run_until(jobs.start_paced(stream, jobs.batch_sink(out, _shard_sums), check), 2)
+    jobs.drain(stream, jobs.batch_sink(out, _shard_sums), check)
+    return _total(jobs.results(spark, out, SUMS))
+
+
+def stream_dead_letter(spark, sf_dir):
+    good, dead = jobs.with_dead_letters(_streamed(spark, sf_dir), poisoned, ["event_id", "shard"])
+    return good.unionByName(dead).groupBy("shard", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+
+
+_ALL = (
+    route_key, route_key_assignment, route_key_long, route_round_robin, route_round_robin_producers, route_round_robin_batch, route_group, route_group_unused, route_static, shard_skew,
+    admit_try_send, admit_try_send_batch, batch_remainder_order, batch_error, frames, merge_any, merge_batch_any, drain_fold, drain_sink, ordered_fold, fifo_violations,
+    dead_letter, slot_outcomes, zero_loss_audit, fill_ratio, elastic_trace, shard_ownership, risk_filter, event_router, heavy_transform, trade_checksum, matching, shard_average, sector,
+    stream_fold, stream_fifo_state, stream_stop_resume, stream_dead_letter,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+
+def fnv_sql(key: str) -> str:
+    """FNV-1a modulo 2**20 of an ASCII key."""
+    return f"list_reduce(list_prepend({FNV_OFFSET & 0xFFFFF}::BIGINT, list_transform(range(1, length({key}) + 1), lambda i: ascii(substr({key}, i::INT, 1))::BIGINT)), lambda h, b: (xor(h, b) * {FNV_PRIME & 0xFFFFF}) & 1048575)"
+
+
+def _sharded_sql(n: int = SHARDS) -> str:
+    return f"sharded AS (SELECT *, ({fnv_sql('event_type')} & {n - 1})::INT AS shard FROM events), ranked AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY event_id) AS rn FROM sharded)"
+
+
+_GROUP = "CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 0 WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 END::INT"
+_CENTS = "sum(cast(round(value * 100) AS BIGINT))::BIGINT"
+_BATCH = f"""b AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY event_id) AS rn FROM s),
+stop AS (SELECT min(shard) AS stop FROM b WHERE rn > {{cap}} AND shard IS NOT NULL),
+m AS (SELECT b.*, CASE WHEN shard IS NOT NULL AND rn <= {{cap}} AND (stop IS NULL OR shard <= stop) THEN 'accepted' WHEN shard = stop THEN 'full' ELSE 'unsent' END AS status FROM b, stop)"""
+_BATCH_OF_2000 = f"WITH s AS (SELECT event_id, event_type, ({fnv_sql('event_type')} & 3)::INT AS shard FROM events WHERE event_id < 2000), " + _BATCH.format(cap=CAPACITY)
+_TRACE = f"""RECURSIVE h AS (SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1),
+f AS (SELECT row_number() OVER (ORDER BY hour) - 1 AS step, least(n, {HOURLY})::DOUBLE / {HOURLY}::DOUBLE AS fill FROM h),
+t(step, active) AS (
+  SELECT -1::BIGINT, 1
+  UNION ALL
+  SELECT f.step, (CASE WHEN fill > 0.8::DOUBLE THEN least(greatest(ceil(fill * 8)::INT, active), 8) WHEN fill < 0.2::DOUBLE THEN greatest(active - 1, 1) ELSE active END)::INT
+  FROM t JOIN f ON f.step = t.step + 1)"""
+
+
+def _heavy() -> tuple[int, int]:
+    a, b = 1, 0
+    for _ in range(2000):
+        a, b = a * 31 % 2**31, (b * 31 + 1) % 2**31
+    return a, b
+
+
+_DRAIN = f"WITH {_sharded_sql()} SELECT shard, count(*)::BIGINT AS n, {_CENTS} AS cents"
+ORACLES = {
+    "route_key": f"WITH {_sharded_sql()} SELECT shard, count(*) AS n FROM sharded GROUP BY shard",
+    "route_key_assignment": f"WITH k AS (SELECT n_name AS key FROM nation UNION SELECT o_orderpriority FROM orders UNION SELECT event_type FROM events) SELECT key, ({fnv_sql('key')} & 7)::INT AS shard FROM k",
+    "route_round_robin": "SELECT ((rn - 1) & 3)::INT AS shard, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn FROM events) GROUP BY 1",
+    "route_round_robin_producers": "SELECT producer, ((rn - 1 + producer) & 3)::INT AS shard, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM (SELECT event_id, user_id % 2 AS producer, row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id) AS rn FROM events) GROUP BY 1, 2",
+    "route_round_robin_batch": f"SELECT (batch & 3)::INT AS shard, batch, count(*) AS n, min(event_id) AS first_id FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // {FRAME} AS batch FROM events) GROUP BY 1, 2",
+    "route_group": f"SELECT r.range::INT AS shard, count(e.event_id) AS n FROM range(4) r LEFT JOIN events e ON {_GROUP} = r.range GROUP BY 1",
+    "route_group_unused": "SELECT event_id, event_type FROM events WHERE event_type IS NULL OR event_type NOT IN ('click', 'view', 'purchase', 'signup')",
+    "route_static": "SELECT (user_id % 3)::INT AS shard, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM events GROUP BY 1",
+    "shard_skew": f"WITH {_sharded_sql()}, c AS (SELECT r.range AS shard, count(s.event_id) AS n FROM range(8) r LEFT JOIN sharded s ON s.shard = r.range GROUP BY 1) SELECT max(n) AS max_rows, avg(n) AS avg_rows, count(*) FILTER (WHERE n = 0) AS empty_shards, count(*) AS shards FROM c",
+    "admit_try_send": f"WITH {_sharded_sql()} SELECT shard, CASE WHEN rn <= {CAPACITY} THEN 'accepted' ELSE 'full' END AS status, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM ranked GROUP BY 1, 2",
+    "admit_try_send_batch": _BATCH_OF_2000 + " SELECT shard, status, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM m GROUP BY 1, 2",
+    "batch_remainder_order": f"WITH s AS (SELECT event_id, event_type, {_GROUP} AS shard FROM events), " + _BATCH.format(cap=1500) + " SELECT event_id, shard, status, row_number() OVER (ORDER BY shard NULLS LAST, rn) AS position FROM m WHERE status <> 'accepted'",
+    "batch_error": _BATCH_OF_2000 + ", head AS (SELECT shard, event_type AS key FROM m WHERE status = 'full' ORDER BY rn LIMIT 1) SELECT count(*) FILTER (WHERE status = 'accepted') AS sent, count(*) FILTER (WHERE status <> 'accepted') AS left, CASE WHEN (SELECT count(*) FROM head) > 0 THEN 'full' ELSE 'ok' END AS status, (SELECT shard FROM head) AS shard, coalesce((SELECT key FROM head), '') AS key FROM m".replace("AS left", 'AS "left"'),
+    "frames": f"WITH {_sharded_sql()}, c AS (SELECT shard, (rn - 1) // {FRAME} AS frame, count(*) AS n FROM ranked GROUP BY 1, 2), l AS (SELECT *, frame = max(frame) OVER (PARTITION BY shard) AND n = 1 AS dc FROM c) SELECT * FROM l UNION ALL SELECT shard, max(frame) + 1, 0, true FROM l GROUP BY shard HAVING NOT bool_or(dc)",
+    "merge_any": f"WITH {_sharded_sql()} SELECT event_id, shard, row_number() OVER (ORDER BY rn, shard) AS position FROM ranked",
+    "merge_batch_any": f"WITH {_sharded_sql()} SELECT event_id, shard, (rn - 1) // {FRAME} AS frame, row_number() OVER (ORDER BY (rn - 1) // {FRAME}, ((shard - (rn - 1) // {FRAME}) % 4 + 4) % 4, rn) AS position FROM ranked",
+    "drain_fold": _DRAIN + ", max(event_id) AS max_event_id FROM sharded GROUP BY shard",
+    "drain_sink": _DRAIN + f", max(event_id) AS max_event_id, count(DISTINCT (rn - 1) // {FRAME}) AS frames, round(count(*)::DOUBLE / count(DISTINCT (rn - 1) // {FRAME}), 6) AS items_per_write FROM ranked GROUP BY shard",
+    "ordered_fold": "SELECT user_id, list_reduce(list_prepend(7::BIGINT, list(event_id ORDER BY event_id)), lambda h, x: (h * 31 + x) % 1000003) AS h, count(*) AS n FROM events GROUP BY user_id",
+    "fifo_violations": "SELECT event_id, event_type FROM events WHERE false",
+    "dead_letter": f"WITH {_sharded_sql()} SELECT shard, CASE WHEN event_id % 7 = 0 THEN 'dead_letter' ELSE 'processed' END AS status, CASE WHEN event_id % 7 = 0 THEN 'multiple of seven' END AS reason, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM sharded GROUP BY 1, 2, 3",
+    "slot_outcomes": "SELECT CASE WHEN event_id % 10 = 0 THEN 'failed' WHEN event_id % 2 = 0 THEN 'dead_letter' ELSE 'processed' END AS status, CASE WHEN event_id % 10 = 0 THEN 'rejected after take' WHEN event_id % 2 = 0 THEN 'rejected' END AS reason, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM events GROUP BY 1, 2",
+    "zero_loss_audit": f"WITH {_sharded_sql()} SELECT shard, count(*) AS sent, count(*) AS done, sum(event_id)::BIGINT AS sent_sum, sum(event_id)::BIGINT AS done_sum, 0::BIGINT AS lost FROM sharded GROUP BY shard",
+    "fill_ratio": f"SELECT epoch(date_trunc('hour', ts))::BIGINT // 3600 AS hour, least(count(*), {HOURLY})::DOUBLE / {HOURLY}::DOUBLE AS fill FROM events GROUP BY 1",
+    "elastic_trace": f"WITH {_TRACE} SELECT step, active FROM t WHERE step >= 0",
+    "shard_ownership": f"WITH {_TRACE} SELECT (s.range % greatest(active, 1))::INT AS owner, s.range::INT AS shard, count(*) AS samples FROM t, range(4) s WHERE step >= 0 GROUP BY 1, 2",
+    "risk_filter": "SELECT o_orderkey, o_custkey, sum(cast(round(o_totalprice * 100) AS BIGINT)) OVER w::BIGINT AS exposure, sum(cast(round(o_totalprice * 100) AS BIGINT)) OVER w <= 100000000 AS accepted FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)",
+    "event_router": f"WITH {_sharded_sql()} SELECT shard, ((rn - 1) % 3)::INT AS notifier, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM ranked GROUP BY 1, 2",
+    "heavy_transform": f"SELECT event_id, ((event_id::HUGEINT * {_heavy()[0]} + {_heavy()[1]}) % 2147483648)::BIGINT AS v FROM events",
+    "trade_checksum": f"WITH t AS (SELECT ({SYMBOLS!r})[((event_id // 2500 * 1000000 + event_id % 2500) % {len(SYMBOLS)} + 1)::INT] AS s, event_id % 2500 AS t FROM events) SELECT s, count(*) AS n, sum(t)::BIGINT AS checksum FROM t GROUP BY s",
+    "shard_average": "SELECT (user_id % 3)::INT AS shard, count(*) AS n, round(sum(cast(round(value * 100) AS BIGINT))::DOUBLE / count(*), 6) AS avg_cents FROM events GROUP BY 1",
+    "sector": "SELECT n_nationkey, n_name, CASE WHEN n_name IN ('FRANCE', 'GERMANY') THEN 0 WHEN n_name IN ('BRAZIL', 'CANADA') THEN 1 WHEN n_name IN ('CHINA', 'INDIA') THEN 2 ELSE 3 END::INT AS shard FROM nation WHERE n_name IN ('FRANCE', 'GERMANY', 'BRAZIL', 'CANADA', 'CHINA', 'INDIA', 'EGYPT')",
+    "stream_fold": _DRAIN + " FROM sharded GROUP BY shard",
+    "stream_fifo_state": "SELECT event_type AS key, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1",
+    "stream_stop_resume": _DRAIN + " FROM sharded GROUP BY shard",
+    "stream_dead_letter": f"WITH {_sharded_sql()} SELECT shard, CASE WHEN event_id % 7 = 0 THEN 'dead_letter' ELSE 'processed' END AS status, count(*) AS n, sum(event_id)::BIGINT AS id_sum FROM sharded GROUP BY 1, 2",
+}
