@@ -30,12 +30,13 @@ from array import array
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from .common import batch_rows, id_text, map_arrow
-from .vocab import ByteEncoder, Store
+from .vocab import byte_level, grouped, joined
 
 #: The pre-split of the byte-level files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -145,27 +146,42 @@ class Codec:
         labels = {spell(s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         self.automaton = Automaton(labels, [(spell(a), spell(b)) for a, b in merges])
-        self.words = Store(lambda w: array("I", self.automaton.encode(w.encode("utf-8"))).tobytes())
+        self.words: dict[str, bytes] = {}
         self.pattern = regex.compile(pattern)
-        self.emit = {i: b for b, i in labels.items()} | {i: s.encode() for s, i in self.special.items()}
+        spelled = {i: b for b, i in labels.items()} | {i: s.encode() for s, i in self.special.items()}
+        self.emit = [spelled.get(i, b"") for i in range(max(spelled, default=-1) + 1)]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.encode_bytes = ByteEncoder(self._chunk, self._whole, list(self.special))
+        self.encoder = byte_level(lambda words: joined([self._chunk(" " + w) for w in words]), self._chunk, sorted(self.special))
+        self.encoder.whole = self._whole
 
     def _chunk(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
+        out = []
+        for w in self.pattern.findall(text):
+            ids = self.words.get(w)
+            if ids is None:
+                if len(self.words) > 200_000:
+                    self.words.clear()
+                ids = self.words[w] = array("I", self.automaton.encode(w.encode("utf-8"))).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def _whole(self, text: str) -> bytes:
+        """A text with special tokens' strings: these are their ids."""
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [self.encode_bytes(text[at : m.start()]), array("I", [self.special[m.group()]]).tobytes()]
+            out += [self._chunk(text[at : m.start()]), array("I", [self.special[m.group()]]).tobytes()]
             at = m.end()
-        return b"".join([*out, self.encode_bytes(text[at:])])
+        return b"".join([*out, self._chunk(text[at:])])
 
     def encode(self, text: str) -> list[int]:
-        return array("I", self.encode_bytes(text)).tolist()
+        return array("I", self.encoder.encode(text)).tolist()
+
+    def spell(self, ids) -> bytes:
+        """The labels of the arcs, one after the other."""
+        return b"".join(map(self.emit.__getitem__, ids))
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.emit.__getitem__, ids)).decode("utf-8", "replace")
+        return self.spell(ids).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -181,13 +197,14 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def run(it):
         codec = codec_of(tokenizer)
-        for b in it:
-            made = codec.encode_bytes.many(b.column("text").to_pylist())
-            back = [codec.decode(array("I", x)) for x in made]
-            cols = [b.column("doc_id"), pa.array([len(x) // 4 for x in made], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in made]), pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in back])]
+        for b in grouped(it):
+            ids, ends = codec.encoder(b.column("text"))
+            made = np.split(ids, ends[:-1])
+            back = [codec.decode(x.tolist()) for x in made]
+            cols = [b.column("doc_id"), pa.array([len(x) for x in made], pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in made]), pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in back])]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols += [pa.array([array("I", x).tolist() for x in made], pa.list_(pa.int64())), pa.array(back)]
+                cols += [pa.array(made, pa.list_(pa.int64())), pa.array(back)]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

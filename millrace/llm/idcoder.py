@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch_rows, id_text, map_arrow
-from .vocab import library_encoder
+from .vocab import grouped, library_encoder
 
 STREAMS, STEPS, BLOCK_IDS = 2048, 256, 1 << 20
 _HEAD = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, streams, crc of ids, crc of payload
@@ -214,25 +214,26 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     rows = id_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def run(it):
-        encode, end = library_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode = library_encoder(tokenizer)
         part, block, first = TaskContext.get().partitionId(), 0, 0
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         names: list = []
         size, kind = 0, pa.int64()
 
         def emit():
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([names], pa.list_(kind)), pa.array([[len(x) // 4 for x in held]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([zlib.crc32(ids.tobytes())], pa.int64()), pa.array([encode_block(ids)], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([names], pa.list_(kind)), pa.array([[len(x) for x in held]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()), pa.array([zlib.crc32(ids.tobytes())], pa.int64()), pa.array([encode_block(ids)], pa.binary())],
                 names=["part", "block", "first", "doc_ids", "lengths", "n_ids", "ids_crc32", "payload"],
             )
 
-        for b in it:
+        for b in grouped(it):
             kind = b.schema.field("doc_id").type
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), encode.many(b.column("text").to_pylist())):
-                held.append(ids + end)
+            ids, ends = encode(b.column("text"), end_id)
+            for doc_id, own in zip(b.column("doc_id").to_pylist(), np.split(ids, ends[:-1])):
+                held.append(own)
                 names.append(doc_id)
-                size += len(held[-1]) // 4
+                size += len(own)
                 if size >= block_ids:
                     yield emit()
                     block, first, size = block + 1, first + size, 0

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import batch_rows, id_text, map_arrow
-from .vocab import word_encoder
+from .vocab import grouped, word_encoder
 
 WINDOW, SHORTEST = 4096, 256
 
@@ -130,10 +130,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     rows = id_text(docs, id_col, text_col)
 
     def run(it):
-        encode, end = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode = word_encoder(tokenizer)
         base = TaskContext.get().partitionId() << 40
         made = {"sequence": 0, "group": 0}
-        held: list[tuple] = []  # (doc_id, first id's place, all ids as bytes, length from there)
+        held: list[tuple] = []  # (doc_id, first id's place, its ids as bytes, length from there)
 
         def emit(sequences: list) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(10)]
@@ -141,7 +141,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 offset = 0
                 for doc, start, n in own:
                     doc_id, first, ids, _ = held[doc]
-                    part = memoryview(ids)[4 * (first + start) : 4 * (first + start + n)]
+                    part = ids[4 * (first + start) : 4 * (first + start + n)]
                     row = (doc_id, first + start, n, zlib.crc32(part), len(ids) // 4, base + made["sequence"], offset, tier, base + made["group"] + group, np.frombuffer(part, "<u4") if with_ids else None)
                     for c, v in zip(cols, row):
                         c.append(v)
@@ -157,17 +157,19 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             return pa.RecordBatch.from_arrays(out, names=names)
 
         size, id_type = 0, pa.int64()
-        for b in it:
+        for b in grouped(it):
             id_type = b.schema.field("doc_id").type
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = encode(text) + end
-                held.append((doc_id, 0, ids, len(ids) // 4))
-                size += len(ids) // 4
+            ids, ends = encode(b.column("text"), end_id)
+            raw, before = memoryview(ids.tobytes()), 0
+            for doc_id, to in zip(b.column("doc_id").to_pylist(), ends.tolist()):
+                held.append((doc_id, 0, raw[4 * before : 4 * to], to - before))
+                size += to - before
+                before = to
                 if size >= hold:
                     full, rest = pack([x[3] for x in held], window, shortest)
                     yield emit(full)
                     # What is left of each document goes on into the next filling.
-                    held = [(held[d][0], held[d][1] + s, held[d][2], n) for d, s, n in rest]
+                    held = [(held[d][0], held[d][1] + s, memoryview(bytes(held[d][2])), n) for d, s, n in rest]
                     size = sum(x[3] for x in held)
         full, rest = pack([x[3] for x in held], window, shortest)
         if full or rest:

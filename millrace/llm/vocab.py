@@ -1,18 +1,26 @@
-"""Fast exact use of the public tokenizers: whole texts are cut where no token
-can cross, and each distinct chunk is encoded once per worker process."""
+"""Fast exact use of the public tokenizers: texts are cut, by Arrow, where no
+token can cross; each distinct chunk is encoded once per worker process and the
+ids of the texts are gathered from a table of the chunks' ids."""
 
 from __future__ import annotations
 
 import os
 import re
 from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 
 #: Chunks kept per worker process; beyond it the store is emptied, so memory
 #: stays bounded whatever the vocabulary of the input.
-STORE = 400_000
+STORE = 1_200_000
+
+#: Text bytes that are encoded together.
+GROUP_BYTES = 8 << 20
 
 #: White space other than space, tab, line feed and carriage return.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -30,114 +38,212 @@ def load(path: str):
     return tok
 
 
-def byte_chunks(text: str) -> list[str]:
-    """Cut ``text`` so that byte-level pre-splitting of the chunks is that of
-    the whole.  ``text.split(' ')`` (pieces after the first begin with a space)
-    is exact unless white space stands before a space that is itself followed
-    by white space or the end; then only spaces between two other characters
-    are cut at.  Returns full chunks, leading spaces included."""
-    return _SAFE_CUT.split(text) if text else []
-
-
-def plain_spaces(text: str) -> bool:
-    """True if cutting at every single space is exact (see ``byte_chunks``)."""
-    return not ("  " in text or "\n " in text or "\t " in text or "\r " in text or _ODD_SPACE.search(text))
-
-
-class Store(dict):
-    """chunk -> ids as little-endian uint32 bytes, filled on demand."""
-
-    def __init__(self, encode, prefix: str = ""):
-        super().__init__()
-        self.encode, self.prefix = encode, prefix
+def grouped(it: Iterator[pa.RecordBatch], column: str = "text", size: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Join small batches to about ``size`` bytes of ``column``."""
+    held, total = [], 0
+    for b in it:
+        held.append(b)
+        total += b.column(column).nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if total or any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(self.prefix + chunk)
-        if len(self) >= STORE:
-            self.clear()
-        self[chunk] = ids
-        return ids
 
+def safe_chunks(text: str) -> list[str]:
+    """Cut ``text`` only at spaces between two characters that aren't white
+    space: byte-level pre-splitting of the chunks is then that of the whole."""
+    return _SAFE_CUT.split(text) if text else []
 
-class ByteEncoder:
-    """Byte-level BPE of whole texts.  ``encode_one(chunk) -> bytes`` gives the
-    ids of a chunk that holds no special token; ``whole(text) -> bytes`` those
-    of any text and is used where a special token's string occurs; ``fill``,
-    if given, encodes many new chunks at a time into the store of spaced ones."""
-
-    def __init__(self, encode_one, whole, special: list[str], fill=None):
-        self.plain, self.spaced = Store(encode_one), Store(encode_one, " ")
-        self.whole, self.special, self.fill = whole, special, fill
-
-    def __call__(self, text: str) -> bytes:
-        return self.many([text])[0]
 
-    def many(self, texts: list[str]) -> list[bytes]:
-        split = [None if any(s in t for s in self.special) else t.split(" ") if plain_spaces(t) else [] for t in texts]
-        if self.fill:
-            self.fill(self.spaced, [x for x in set().union(*(x[1:] for x in split if x)) if x not in self.spaced])
-        out = []
-        for text, own in zip(texts, split):
-            if own is None:
-                out.append(self.whole(text))
-            elif own:
-                first = self.plain[own[0]] if own[0] else b""
-                out.append(first + b"".join(map(self.spaced.__getitem__, own[1:])))
-            else:
-                out.append(b"".join(map(self.plain.__getitem__, byte_chunks(text))))
-        return out
+class Stretches:
+    """A table of id stretches by number, in one array that grows."""
+
+    def __init__(self):
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of the new stretches that ``ids`` is cut into."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(sizes) > len(self.start):
+            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = slice(self.n, self.n + len(sizes))
+        self.start[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.n = self.used + len(ids), self.n + len(sizes)
+        return np.arange(at.start, at.stop)
+
+    def cut_back(self, n: int, used: int) -> None:
+        self.n, self.used = n, used
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the stretches, one after the other, and where each ends."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
+        at = np.repeat((self.start[numbers] - ends + sizes).astype(kind), sizes)
+        at += np.arange(total, dtype=kind)
+        return self.ids.take(at), ends
+
+
+def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts], np.int64)
+
+
+class Encoder:
+    """Ids of whole texts from the ids of their chunks.
+
+    ``cut(texts)`` gives Arrow lists of chunks, of which the first one of a text
+    may mean something else than the same chunk later on (``first``).  ``many``
+    encodes chunks, ``whole`` texts that can't be cut (``uncut`` finds them by
+    a pattern of RE2).  ``chunks``, if given, cuts those that have no ``special``
+    string after all.  Each encoder returns ids as little-endian uint32 bytes."""
+
+    def __init__(self, cut: Callable, uncut: str, special: list[str], many: Callable, one: Callable, first: bool, chunks: Callable | None = None):
+        self.cut, self.uncut, self.special, self.many_new, self.one, self.first, self.chunks = cut, uncut, special, many, one, first, chunks
+        self.whole = one
+        self.reset()
+
+    def reset(self) -> None:
+        self.table, self.later, self.plain = Stretches(), {}, {}
+        self.table.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))  # 0: no ids
+
+    def _numbers(self, known: dict, chunks: list[str], encode: Callable) -> np.ndarray:
+        got = np.fromiter(map(known.get, chunks, [-1] * len(chunks)), np.int64, len(chunks))
+        new = np.flatnonzero(got < 0)
+        if len(new):
+            words = list(dict.fromkeys([chunks[i] for i in new.tolist()]))
+            numbers = self.table.add(*encode(words))
+            known.update(zip(words, numbers.tolist()))
+            got[new] = [known[chunks[i]] for i in new.tolist()]
+        return got
+
+    def _plain(self, chunks: list[str]) -> np.ndarray:
+        return self._numbers(self.plain, chunks, lambda words: joined([self.one(x) if x else b"" for x in words]))
+
+    def _uncut(self, text: str) -> np.ndarray:
+        if self.chunks and not any(s in text for s in self.special):
+            return self.table.gather(self._plain(self.chunks(text)))[0]
+        return np.frombuffer(self.whole(text), "<u4")
+
+    def __call__(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by ``end``, and where each text's end."""
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.later) + len(self.plain) > STORE:
+            self.reset()
+        odd = pc.match_substring_regex(texts, self.uncut)
+        lists = self.cut(pc.if_else(odd, "", texts))
+        starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        numbers = self._numbers(self.later, coded.dictionary.to_pylist(), self.many_new)[np.asarray(coded.indices)]
+        if self.first:
+            numbers[starts] = self._plain(lists.flatten().take(pa.array(starts)).to_pylist())
+        whole = np.flatnonzero(np.asarray(odd))
+        made = [self._uncut(texts[i].as_py()) for i in whole.tolist()]
+        mark = self.table.n, self.table.used
+        if made:
+            numbers[starts[whole]] = self.table.add(np.concatenate(made), np.array([len(x) for x in made], np.int64))
+        if end is not None:
+            last = self.table.add(np.array([end], np.uint32), np.ones(1, np.int64))[0]
+            numbers = np.insert(numbers, np.append(starts[1:], len(numbers)), last)
+            starts = starts + np.arange(n)
+        ids, ends = self.table.gather(numbers)
+        self.table.cut_back(*mark)
+        return ids, ends[np.append(starts[1:], len(numbers)) - 1]
+
+    def encode(self, text: str) -> bytes:
+        return self(pa.array([text]))[0].tobytes()
+
+
+def byte_level(many: Callable, one: Callable, special: list[str]) -> Encoder:
+    """Byte-level BPE.  Cutting at every space is exact unless white space stands
+    before a space, or there is white space of another kind."""
+    uncut = "|".join(["[ \n\t\r] ", _ODD_SPACE.pattern, *map(re.escape, special)])
+    return Encoder(lambda texts: pc.split_pattern(texts, " "), uncut, special, many, one, True, safe_chunks)
+
+
+#: Byte-level files spell a byte as a printable letter: printable bytes of
+#: Latin-1 stand for themselves, the others for the letters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SPELLED: dict[int, str] = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+
+
+class Heads:
+    """Ids of chunks that begin with letters.  A run of letters is a piece of
+    its own for either kind of file, so it goes to the file's model alone, and
+    what follows it, which is rarely new, to the whole tokenizer."""
+
+    def __init__(self, tok, pattern: str, before: str, lower: bool, one: Callable):
+        self.match, self.tokenize = regex.compile(pattern).match, tok.model.tokenize
+        self.before, self.lower, self.one = before, lower, one
+        self.heads: dict[str, bytes] = {}
+        self.rests: dict[str, bytes] = {}
+
+    def _model(self, head: str) -> bytes:
+        low = head.lower() if self.lower else head
+        spelled = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(_SPELLED)
+        return array("I", [t.id for t in self.tokenize(self.before + spelled)]).tobytes()
+
+    def __call__(self, words: list[str], other: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """``other`` encodes a list of the words that don't begin with letters."""
+        heads, rests, match = self.heads, self.rests, self.match
+        for known in (heads, rests):
+            if len(known) > 150_000:
+                known.clear()
+        out: list = [None] * len(words)
+        left = []
+        for i, x in enumerate(words):
+            m = match(x)
+            if m is None:
+                left.append(i)
+                continue
+            head = m[0]
+            ids = heads.get(head)
+            if ids is None:
+                ids = heads[head] = self._model(head)
+            if len(head) < len(x):
+                rest = x[len(head) :]
+                more = rests.get(rest)
+                if more is None:
+                    more = rests[rest] = self.one(rest)
+                ids += more
+            out[i] = ids
+        for i, ids in zip(left, other([words[i] for i in left])):
+            out[i] = ids
+        return joined(out)
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> ByteEncoder:
-    """Ids of the tokenizers library for a byte-level file.  New chunks are
-    joined and encoded together, and the ids dealt out by the bytes they stand
-    for; chunks with white space at an end, which joining could change, are
-    encoded alone."""
+def library_encoder(path: str) -> Encoder:
+    """Ids of the tokenizers library for a byte-level file."""
     tok = load(path)
-    special = {t.content for t in tok.get_added_tokens_decoder().values()}
-    lengths = np.zeros(max(tok.get_vocab().values()) + 1, np.int64)
-    for token, i in tok.get_vocab().items():
-        lengths[i] = len(token)  # a letter stands for a byte
+    special = sorted(t.content for t in tok.get_added_tokens_decoder().values())
 
     def one(text: str) -> bytes:
         return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def fill(store: Store, new: list[str]) -> None:
-        new = [x for x in new if x and not (x[0].isspace() or x[-1].isspace())]
-        if len(store) + len(new) > STORE:
-            store.clear()
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            ids = np.array(tok.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum([len(x.encode("utf-8")) + 1 for x in part])
-            cut = np.searchsorted(np.cumsum(lengths[ids]), ends, "left") + 1
-            raw, before = ids.tobytes(), 0
-            for x, to in zip(part, (4 * cut).tolist()):
-                store[x] = raw[before:to]
-                before = to
-
-    return ByteEncoder(one, one, sorted(special), fill)
+    heads = Heads(tok, r"\p{L}+", _SPELLED[32], False, one)
+    return byte_level(lambda words: heads(words, lambda rest: [one(" " + x) for x in rest]), one, special)
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str):
+def word_encoder(path: str) -> Encoder:
     """Ids of the tokenizers library for a file that drops white space: chunks
-    are the words between white space.  Control characters that only Python
-    counts as white space, and special tokens, send a text to the library
+    are the words between white space.  Control characters that only Python and
+    Arrow count as white space, and special tokens, send a text to the library
     whole."""
     tok = load(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    odd = re.compile("[\x1c-\x1f\x85᠎]|" + "|".join(map(re.escape, special)))
-
+    uncut = "[\x1c-\x1f\x85\u180e]|" + "|".join(map(re.escape, special))
     def one(text: str) -> bytes:
         return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    store = Store(one)
-
-    def encode(text: str) -> bytes:
-        if odd.search(text):
-            return one(text)
-        return b"".join(map(store.__getitem__, text.split()))
-
-    return encode
+    # Latin letters before ASCII: normalising such a word only lowers its letters.
+    heads = Heads(tok, "[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-\x7f]*$)", "", True, one)
+    return Encoder(pc.utf8_split_whitespace, uncut, special, lambda words: heads(words, lambda rest: [one(x) if x else b"" for x in rest]), one, False)

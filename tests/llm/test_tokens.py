@@ -5,6 +5,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import bpe, idcoder, packing, vocab
@@ -26,9 +27,15 @@ def raw(ids):
 def test_chunked_encoding_is_the_librarys():
     odd = ["", " ", "  ", "a  b", "a \n b", "a\n  b\n", "  lead", "trail   ", "a\n <|endoftext|>", "it's 'll", "\n\n x", "a   b", "x   y", "\r \r"]
     byte, word = vocab.library_encoder(BYTE), vocab.word_encoder(WORD)
-    for text in odd:
-        assert byte(text) == raw(library(BYTE)(text)), text
-        assert word(text) == raw(library(WORD)(text)), text
+    odd += [text + extra for text in odd for extra in ("a|b | |", "\u0338x \u0130", "\x1d y", "\u3000")]
+    for encode, path in ((byte, BYTE), (word, WORD)):
+        one = library(path)
+        for text in odd:
+            assert encode.encode(text) == raw(one(text)), text
+        ids, ends = encode(pa.array(odd), 7)  # and all together
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*one(t), 7] for t in odd]
+        encode.reset()
+        assert encode(pa.array(odd[5:], pa.string()))[0].tolist() == [i for t in odd[5:] for i in one(t)]
 
 
 def test_packing_places_each_id_once(cases):
