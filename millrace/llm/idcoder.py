@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import batch_rows, id_text, map_arrow
 from .vocab import grouped, library_encoder
 
-STREAMS, STEPS, BLOCK_IDS = 2048, 256, 1 << 20
+STREAMS, STEPS, BLOCK_IDS = 8192, 256, 1 << 21
 _HEAD = struct.Struct("<4sIIIII")  # magic, ids, vocabulary, streams, crc of ids, crc of payload
 _HASH_BITS, _GAIN, _FLAG_BITS = 18, 32, 12
 _U = np.uint64
