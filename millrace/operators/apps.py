@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import key_shard
 from ..functions.ordinals import with_position
+from .folds import arrow_schema
 from .routing import partitioned
 
 
@@ -24,7 +25,7 @@ def keyed_state(df: DataFrame, key: str, ordinal: str, shards: int, start: Calla
     rows.  Rows are dealt by key and stream in order through their task, which
     holds one key's state at a time."""
     ordered = partitioned(df.withColumn("shard", key_shard(F.col(key), shards, "native")).where(F.col("shard").isNotNull()), shards).sortWithinPartitions(key, ordinal)
-    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = arrow_schema(schema)
 
     def run(batches):
         now, state = None, None
@@ -35,7 +36,7 @@ def keyed_state(df: DataFrame, key: str, ordinal: str, shards: int, start: Calla
                     now, state = row[key], start()
                 out += step(state, row)
             if out:
-                yield pa.RecordBatch.from_pylist([{n: x.get(n) for n in names} for x in out])
+                yield pa.RecordBatch.from_pylist(out, kinds)
 
     return ordered.mapInArrow(run, schema)
 

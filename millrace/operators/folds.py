@@ -7,11 +7,18 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .receive import framed
 from .routing import partitioned
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    """The Arrow types that Spark expects for a schema."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def drain(df: DataFrame, *aggs: Column) -> DataFrame:
     """Aggregates by shard; order doesn't matter, so partial sums go first."""
     return df.groupBy("shard").agg(*aggs)
@@ -43,20 +50,20 @@ def drain_in_order(df: DataFrame, shards: int, ordinal: str, start: Callable[[],
     """Any sequential fold: ``step(state, row)`` over each shard's rows in order,
     then ``finish(shard, state)`` gives its output row.  Rows stream through one
     task a shard; only the state is held, however long the shard is."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = arrow_schema(schema)
     ordered = partitioned(df.where(F.col("shard").isNotNull()), shards).sortWithinPartitions("shard", ordinal)
 
     def run(batches):
-        shard, state, kinds = None, None, None
+        shard, state = None, None
         for b in batches:
             for row in b.to_pylist():
                 if shard is None or row["shard"] != shard:
                     if shard is not None:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, finish(shard, state)))], kinds)
+                        yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, finish(shard, state)))], kinds)
                     shard, state = row["shard"], start()
                 state = step(state, row)
         if shard is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, finish(shard, state)))], kinds)
+            yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, finish(shard, state)))], kinds)
 
     return ordered.mapInArrow(run, schema)
 
@@ -64,6 +71,7 @@ def drain_in_order(df: DataFrame, shards: int, ordinal: str, start: Callable[[],
 def drain_batches(df: DataFrame, shards: int, ordinal: str, size: int, sink: Callable[[int, pa.Table], dict], schema: str) -> DataFrame:
     """``sink(shard, table)`` is called with each frame of a shard, in order, as
     an Arrow table of ``size`` rows (fewer in the last), and returns a row."""
+    kinds = arrow_schema(schema)
     ordered = partitioned(df.where(F.col("shard").isNotNull()), shards).sortWithinPartitions("shard", ordinal)
 
     def run(batches):
@@ -74,7 +82,7 @@ def drain_batches(df: DataFrame, shards: int, ordinal: str, size: int, sink: Cal
             table = pa.Table.from_batches(held) if held else None
             at = 0
             while table is not None and (n - at >= size or last and n > at):
-                yield pa.RecordBatch.from_pylist([sink(shard, table.slice(at, size))])
+                yield pa.RecordBatch.from_pylist([sink(shard, table.slice(at, size))], kinds)
                 at += size
             rest = table.slice(min(at, n)) if table is not None else None
             held, n = (rest.to_batches(), rest.num_rows) if rest is not None else ([], 0)
