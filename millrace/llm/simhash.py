@@ -37,6 +37,9 @@ from .common import batch_rows, id_text, map_arrow, stage
 #: Members of a chunk, and the members a bucket should have.
 CHUNK, BUCKET = 8192, 512
 
+#: Up to this many ids of documents that go are broadcast.
+BROADCAST_IDS = 500_000
+
 
 def shingles(text: str, size: int) -> list[bytes]:
     """Shingles of ``size`` words; A-Z lower-cased, words parted by ASCII white space."""
@@ -205,8 +208,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each class; all columns stay."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each class; all columns stay.
+
+    Texts are filtered in place by the ids that go, which are broadcast if they
+    are counted to be at most ``broadcast_ids``, and joined otherwise."""
     named = classes(docs, id_col, text_col, **options)
-    kept = stage(named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept, docs[id_col].eqNullSafe(kept.kept_id), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = stage(named.groupBy("doc_id").agg(F.bool_or(same).alias("keep")).where(~F.col("keep")).select(F.col("doc_id").alias("gone_id")), "gone")
+    side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone.hint("merge")
+    return docs.join(side, docs[id_col].eqNullSafe(gone.gone_id), "left_anti")

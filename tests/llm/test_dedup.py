@@ -73,9 +73,10 @@ def test_simhash(cases, empty):
         for chunk in (simhash.CHUNK, 2):
             got = Counter((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.classes(df, chunk=chunk).collect())
             assert got == want
-        kept = simhash.keep_one(df)
-        assert kept.columns == df.columns
-        assert {r.doc_id for r in kept.collect()} == {c for _, _, c in want}
+        for ids in (simhash.BROADCAST_IDS, 0):
+            kept = simhash.keep_one(df, broadcast_ids=ids)
+            assert kept.columns == df.columns
+            assert {r.doc_id for r in kept.collect()} == {c for _, _, c in want}
     assert simhash.classes(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
