@@ -208,13 +208,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each class; all columns stay.
+def keep_least(docs: DataFrame, named: DataFrame, id_col: str, broadcast_ids: int) -> DataFrame:
+    """The rows of ``docs`` whose id is the component_id that ``named`` gives it.
 
     Texts are filtered in place by the ids that go, which are broadcast if they
     are counted to be at most ``broadcast_ids``, and joined otherwise."""
-    named = classes(docs, id_col, text_col, **options)
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = stage(named.groupBy("doc_id").agg(F.bool_or(same).alias("keep")).where(~F.col("keep")).select(F.col("doc_id").alias("gone_id")), "gone")
     side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone.hint("merge")
     return docs.join(side, docs[id_col].eqNullSafe(gone.gone_id), "left_anti")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, broadcast_ids: int = BROADCAST_IDS, **options) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each class; all columns stay."""
+    return keep_least(docs, classes(docs, id_col, text_col, **options), id_col, broadcast_ids)
