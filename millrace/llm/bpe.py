@@ -9,7 +9,13 @@ without the arc v, and each state with an arc u gets an arc w to where v led.
 All arcs of one label lead to one state, and a state is only ever copied or
 given arcs, so a gadget is stored in constant space: which arc the copy lacks,
 and since when.  An arc's existence is read off by undoing the gadgets, once,
-into a transition table that is then looked up.
+into a transition table (of at most ``TABLE`` arcs, those met) that is looked up.
+
+A merge is live only if its gadget was applied: where its two parts can't stand
+together any more it never happens.  Where two live merges make one token, or a
+merge stands before one that makes a part of it, gadgets in the order of the
+merges don't give the tokenizer's result; such a file (none of the trained ones)
+is encoded by merging instead (``merges``).
 
 A string's every prefix has one tokenization, so the path of a word is found
 from left to right: the last label of prefix i is the only label ending there
@@ -35,18 +41,19 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import batch_rows, id_text, map_arrow
-from .vocab import byte_level, grouped, joined
+from .common import grouped, id_text, map_arrow
+from .merges import Merges
+from .vocab import BYTES, LETTERS, SPELLED, Kept, Words, byte_level
 
-#: The pre-split of the byte-level files.
+#: How the library's byte-level pre-tokenizer cuts texts; other files are refused.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Arcs kept in the transition table.
+TABLE = 1_000_000
+
 
-def byte_letters() -> dict[str, int]:
-    """The printable letters that stand for bytes in byte-level files."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+class Unfit(ValueError):
+    """The automaton can't be built by gadgets in the order of the merges."""
 
 
 class Automaton:
@@ -60,27 +67,31 @@ class Automaton:
         size = max(labels.values(), default=-1) + 1
         self.left, self.right, self.made = [-1] * size, [-1] * size, [-1] * size
         self.removed: dict[int, int] = {}
+        self.spelled = {i: b for b, i in labels.items()}
         self.live = {b: i for b, i in labels.items() if len(b) == 1}
         self.table: dict[int, bool] = {}
-        self.states = 1
+        self.states, waiting = 1, set()
         for time, (a, b) in enumerate(merges):
-            if a in self.live and b in self.live and a + b in labels:
-                self._gadget(time, labels[a], labels[b], labels[a + b])
+            if a in self.live and b in self.live and a + b in labels and self._gadget(time, labels[a], labels[b], labels[a + b]):
+                if a + b in waiting:
+                    raise Unfit("a merge stands before one that makes a part of it")
                 self.live[a + b] = labels[a + b]
+            waiting |= {a, b} - self.live.keys()
+        self.table.clear()
         self.ends = ahocorasick.Automaton()  # the labels that end at each byte
         for b, i in self.live.items():
             self.ends.add_word(b.decode("latin-1"), (len(b), i))
         self.ends.make_automaton()
-        self.spelled = {i: b for b, i in labels.items()}
 
-    def _gadget(self, time: int, u: int, v: int, w: int) -> None:
+    def _gadget(self, time: int, u: int, v: int, w: int) -> bool:
         if not self._has(u, v):  # u v can't stand together any more
-            return
-        if self.made[w] >= 0:
-            raise ValueError("two merges make one token")
+            return False
+        if self.made[w] >= 0 or len(self.spelled[w]) == 1:
+            raise Unfit("two merges make one token")
         self.removed[u << 24 | v] = time
         self.left[w], self.right[w], self.made[w] = u, v, time
         self.states += 1
+        return True
 
     def _has(self, u: int, v: int) -> bool:
         """Undo the gadgets from the youngest: an arc is there unless a copy made
@@ -104,16 +115,13 @@ class Automaton:
         key = u << 24 | v
         known = self.table.get(key)
         if known is None:
-            if len(self.table) > 3_000_000:
+            if len(self.table) > TABLE:
                 self.table.clear()
             known = self.table[key] = self._has(u, v)
         return known
 
     def encode(self, word: bytes) -> list[int]:
         """The labels of the only accepted path that spells ``word``."""
-        live = self.live
-        if (whole := live.get(word)) is not None:
-            return [whole]
         n, arc, table = len(word), self.arc, self.table
         last = [-1] * (n + 1)
         for at, (size, label) in self.ends.iter(word.decode("latin-1")):
@@ -134,41 +142,67 @@ class Automaton:
         return out[::-1]
 
 
+def encoder_of(labels: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
+    """The function from a word's bytes to its ids."""
+    try:
+        return Automaton(labels, merges).encode
+    except Unfit:
+        first = np.array([labels.get(bytes([b]), -1) for b in range(256)])
+        plain = Merges(first, first, [(labels[a], labels[b], labels[a + b]) for a, b in merges])
+
+        def encode(word: bytes) -> list[int]:
+            if not word:
+                return []
+            data = np.frombuffer(word, np.uint8)
+            if (first[data] < 0).any():
+                raise ValueError("a byte is no token")
+            return plain(data, np.zeros(1, np.int64), np.array([len(word)]))[0].tolist()
+
+        return encode
+
+
+class SideBySide:
+    """The automaton over many words: what ``Merges`` is to the library."""
+
+    def __init__(self, encode, before: bytes):
+        self.kept, self.before = Kept(lambda w: array("I", encode(w)).tobytes()), before
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, kept, before = data.tobytes(), self.kept, self.before
+        made = [kept[before + raw[s : s + n]] for s, n in zip(starts.tolist(), sizes.tolist())]
+        return np.frombuffer(b"".join(made), "<u4"), np.array([len(x) // 4 for x in made], np.int64)
+
+
 class Codec:
     """Encoder and decoder of a byte-level tokenizer file."""
 
-    def __init__(self, path: str, pattern: str = PATTERN):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        letters = byte_letters()
-        spell = lambda s: bytes(letters[c] for c in s)
+        cut = spec["pre_tokenizer"] or {}
+        if spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError("not a byte-level file that cuts texts by the usual pattern")
+        spell = lambda s: bytes(BYTES[c] for c in s)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         labels = {spell(s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.automaton = Automaton(labels, [(spell(a), spell(b)) for a, b in merges])
-        self.words: dict[str, bytes] = {}
-        self.pattern = regex.compile(pattern)
+        self.word = encoder_of(labels, [(spell(a), spell(b)) for a, b in merges])
+        self.words = Kept(lambda w: array("I", self.word(w.encode("utf-8"))).tobytes())
+        self.pattern = regex.compile(PATTERN)
         spelled = {i: b for b, i in labels.items()} | {i: s.encode() for s, i in self.special.items()}
         self.emit = [spelled.get(i, b"") for i in range(max(spelled, default=-1) + 1)]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.encoder = byte_level(lambda words: joined([self._chunk(" " + w) for w in words]), self._chunk, sorted(self.special))
+        many = Words({True: SideBySide(self.word, b""), False: SideBySide(self.word, b" ")}, LETTERS, False, " ", self._chunk)
+        self.encoder = byte_level(many, self._chunk, sorted(self.special))
         self.encoder.whole = self._whole
 
     def _chunk(self, text: str) -> bytes:
-        out = []
-        for w in self.pattern.findall(text):
-            ids = self.words.get(w)
-            if ids is None:
-                if len(self.words) > 200_000:
-                    self.words.clear()
-                ids = self.words[w] = array("I", self.automaton.encode(w.encode("utf-8"))).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
     def _whole(self, text: str) -> bytes:
         """A text with special tokens' strings: these are their ids."""
         out, at = [], 0
-        for m in self.cut.finditer(text):
+        for m in self.cut.finditer(text) if self.cut else ():
             out += [self._chunk(text[at : m.start()]), array("I", [self.special[m.group()]]).tobytes()]
             at = m.end()
         return b"".join([*out, self._chunk(text[at:])])
@@ -192,7 +226,6 @@ def codec_of(path: str) -> Codec:
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of whole texts."""
-    batch_rows(docs.sparkSession, 1000)
     rows = id_text(docs, id_col, text_col)
 
     def run(it):

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, id_text, map_arrow, stage
+from .common import id_text, map_arrow, small, stage
 
 END = b"\n"
 HEAD_UNITS, TAIL_UNITS, CLASSES, KNOWN = 512, 256, 64, 50_000
@@ -54,7 +54,7 @@ def _count(it):
     def out():
         return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
 
-    for b in it:
+    for b in small(it):
         for text in b.column("text").to_pylist():
             held.update(tokens(text))
         if len(held) > 400_000:
@@ -145,7 +145,6 @@ class Model:
 
 def fit(docs: DataFrame, text_col: str = "text", *, classes: int = CLASSES, head_units: int = HEAD_UNITS, tail_units: int = TAIL_UNITS, known: int = KNOWN, alpha: float = 0.5, beta: float = 0.5) -> Model:
     """Learn from every text of ``docs``."""
-    batch_rows(docs.sparkSession, 2000)
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     words = stage(map_arrow(texts, _count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
@@ -158,7 +157,7 @@ def fit(docs: DataFrame, text_col: str = "text", *, classes: int = CLASSES, head
 
     def bigrams(it):
         units, counts = Units(head, tail_units), np.zeros(size * size, np.int64)
-        for b in it:
+        for b in small(it):
             flat = array("i", [0])
             for text in b.column("text").to_pylist():
                 flat.extend(map(units.__getitem__, tokens(text)))
@@ -197,7 +196,6 @@ def fit(docs: DataFrame, text_col: str = "text", *, classes: int = CLASSES, head
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of each whole text."""
-    batch_rows(docs.sparkSession, 2000)
     rows = id_text(docs, id_col, text_col).withColumn("tag", F.monotonically_increasing_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
     base = np.log10(model.tokens + model.types + 1)
@@ -213,7 +211,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(it):
         own, tail_units, class_of, emit, plain, transition, edge, first = sent.value
         places = Units(own, tail_units)
-        for b in it:
+        for b in small(it):
             tag, word, tf, c_out = [], [], [], []
             docs_n, docs_base, docs_score, docs_known = [], [], [], []
             for t, text in zip(b.column("tag").to_pylist(), b.column("text").to_pylist()):

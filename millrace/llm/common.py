@@ -7,10 +7,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Text bytes that become Python objects together, and that are encoded together.
+PART_BYTES, GROUP_BYTES = 4 << 20, 8 << 20
+
 _MADE: list[tuple[object, str]] = []
 
 
@@ -70,9 +75,40 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Arrow batches are bounded by rows; texts are long, so keep them small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def parts(b: pa.RecordBatch, column: str = "text", size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Stretches of a batch of about ``size`` bytes of ``column`` each."""
+    whole = b.column(column)
+    if b.num_rows < 2 or whole.nbytes <= size:
+        yield b
+        return
+    binary = pa.types.is_string(whole.type) or pa.types.is_binary(whole.type)
+    offsets = np.asarray(pc.fill_null(pc.binary_length(whole), 0)).cumsum(dtype=np.int64) if binary else np.arange(b.num_rows) * whole.nbytes // b.num_rows
+    cuts = np.flatnonzero(np.diff(offsets // size)) + 1
+    for at, to in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+        if to > at:
+            yield b.slice(at, to - at)
+
+
+def small(it: Iterator[pa.RecordBatch], column: str = "text", size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """An Arrow stream in batches of about ``size`` bytes at most: what a mapper
+    turns into Python objects at a time is bounded by bytes, whatever the rows of
+    a batch are in the session."""
+    for b in it:
+        yield from parts(b, column, size)
+
+
+def grouped(it: Iterator[pa.RecordBatch], column: str = "text", size: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The stream in batches of about ``size`` bytes: small ones are joined, large
+    ones cut; a single row is never cut."""
+    held, total = [], 0
+    for b in small(it, column, size):
+        held.append(b)
+        total += b.column(column).nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if total or any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def bucket_count(rows: int, per: int, least: int = 1, most: int = 20_000) -> int:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, id_text, map_arrow, stage
+from .common import id_text, map_arrow, small, stage
 
 _SPACE = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -56,7 +56,7 @@ def line_digests(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
     of an Arrow batch, so a line in a third of all documents is one row of it."""
 
     def run(it):
-        for b in it:
+        for b in small(it):
             counts: dict = {}
             for i, (_, keys) in zip(b.column("batch").to_pylist(), _flat(b, min_chars)):
                 for k in set(keys):
@@ -123,7 +123,7 @@ def _apply(min_chars: int, found):
     """Arrow mapper that drops the lines for which found(doc position, keys) is true."""
 
     def run(it):
-        for b in it:
+        for b in small(it):
             n, dropped, kept = [], [], []
             for row, (lines, keys) in enumerate(_flat(b, min_chars)):
                 drop = found(b, row, keys)
@@ -159,7 +159,7 @@ def drop_lines(rows: DataFrame, keys: DataFrame, min_chars: int, broadcast_keys:
 
     # Rows that share an id share their lists: each entry is a common line for either.
     def digests(it):
-        for b in it:
+        for b in small(it):
             at, hi, lo = [], [], []
             for row, (_, ks) in enumerate(_flat(b, min_chars)):
                 for k in set(ks) - {None}:
@@ -181,7 +181,6 @@ def drop_lines(rows: DataFrame, keys: DataFrame, min_chars: int, broadcast_keys:
 def drop_common(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 1, min_docs: int = 10, batches: int = 8, fanout: int = 4, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text): every line whose key is found
     in at least ``min_docs`` documents is dropped from all of them."""
-    batch_rows(docs.sparkSession, 2000)
     rows = id_text(docs, id_col, text_col)
     parts = stage(line_digests(rows, min_chars, batches).groupBy("batch", "hi", "lo").agg(F.sum("docs").alias("docs")), "digests")
     runs = LineRuns(docs.sparkSession, fanout, min_chars)

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import batch_rows, id_text, map_arrow
-from .vocab import grouped, word_encoder
+from .common import grouped, id_text, map_arrow
+from .vocab import word_encoder
 
 WINDOW, SHORTEST = 4096, 256
 
@@ -126,7 +126,6 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, tier (its sequence's length), step_group, and with
     ``with_ids`` the ids."""
-    batch_rows(docs.sparkSession, 2000)
     rows = id_text(docs, id_col, text_col)
 
     def run(it):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, id_text, map_arrow, stage
+from .common import id_text, map_arrow, small, stage
 
 #: Members of a chunk, and the members a bucket should have.
 CHUNK, BUCKET = 8192, 512
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = id_text(docs, id_col, text_col)
 
     def run(it):
-        for b in it:
+        for b in small(it):
             fp = np.array([fingerprint(t, shingle) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
@@ -77,16 +77,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
-    """uint64[64, words]: word w of plane k holds bit k of members 64w to 64w+63."""
-    words = -(-len(fp) // 64)
-    bits = np.zeros((64, words * 64), np.uint8)
-    bits[:, : len(fp)] = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
+    """uint64[bits, words]: word w of plane k holds bit k of members 64w to 64w+63;
+    a member is one number of 64 bits, or a row of several."""
+    n = len(fp)
+    wide = np.ascontiguousarray(fp.reshape(n, -1).astype("<u8")).view(np.uint8).reshape(n, -1)
+    bits = np.zeros((8 * wide.shape[1], -(-n // 64) * 64), np.uint8)
+    bits[:, :n] = np.unpackbits(wide, axis=1, bitorder="little").T
     return np.packbits(bits, axis=1, bitorder="little").view("<u8")
 
 
 def near(queries: np.ndarray, members: np.ndarray, radius: int):
     """Yield (query index, member index) arrays of all pairs within ``radius`` bits."""
     vertical, n = planes(members), len(members)
+    queries = queries.reshape(len(queries), -1)
     words, wires = vertical.shape[1], (radius + 1).bit_length()
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
     tail = np.zeros(words, np.uint64)  # places beyond the last member count as exceeded
@@ -99,8 +102,8 @@ def near(queries: np.ndarray, members: np.ndarray, radius: int):
         alive = np.arange(len(q))
         count = [np.full((len(q), words), full if start >> i & 1 else 0, np.uint64) for i in range(wires)]
         over = np.repeat(tail[None], len(q), 0)
-        for k in range(64):
-            flip = np.where(q[alive] >> np.uint64(k) & np.uint64(1), full, np.uint64(0))[:, None]
+        for k in range(len(vertical)):
+            flip = np.where(q[alive, k // 64] >> np.uint64(k % 64) & np.uint64(1), full, np.uint64(0))[:, None]
             carry = vertical[k][None] ^ flip
             for wire in count:
                 wire ^= carry  # sum
@@ -197,7 +200,6 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, radius: int = 2, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id of the class."""
-    batch_rows(docs.sparkSession, 2000)
     prints = stage(fingerprints(docs, id_col, text_col, shingle), "prints")
     stats = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "stats")
     roots = components(links(stats.select("fp"), stats.count(), radius, chunk))

@@ -1,26 +1,28 @@
 """Fast exact use of the public tokenizers: texts are cut, by Arrow, where no
-token can cross; each distinct chunk is encoded once per worker process and the
-ids of the texts are gathered from a table of the chunks' ids."""
+token can cross; the distinct chunks of a group of texts are merged side by side
+(``merges``), and the ids of the texts are gathered from those of their chunks.
+Nothing is kept from group to group but the ids of chunks that aren't words."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
-#: Chunks kept per worker process; beyond it the store is emptied, so memory
-#: stays bounded whatever the vocabulary of the input.
-STORE = 1_200_000
+from .merges import Merges
 
-#: Text bytes that are encoded together.
-GROUP_BYTES = 8 << 20
+#: Bytes of chunks and ids that a worker process keeps; beyond it they are let go.
+STORE_BYTES = 16 << 20
+
+#: Longer words, in bytes, are left to the library.
+LONGEST = 48
 
 #: White space other than space, tab, line feed and carriage return.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -38,19 +40,6 @@ def load(path: str):
     return tok
 
 
-def grouped(it: Iterator[pa.RecordBatch], column: str = "text", size: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Join small batches to about ``size`` bytes of ``column``."""
-    held, total = [], 0
-    for b in it:
-        held.append(b)
-        total += b.column(column).nbytes
-        if total >= size:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, total = [], 0
-    if total or any(b.num_rows for b in held):
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def safe_chunks(text: str) -> list[str]:
     """Cut ``text`` only at spaces between two characters that aren't white
     space: byte-level pre-splitting of the chunks is then that of the whole."""
@@ -58,103 +47,94 @@ def safe_chunks(text: str) -> list[str]:
 
 
 class Stretches:
-    """A table of id stretches by number, in one array that grows."""
+    """Id stretches by number; number 0 has no ids."""
 
     def __init__(self):
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Numbers of the new stretches that ``ids`` is cut into."""
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(sizes) > len(self.start):
-            self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
-        self.ids[self.used : self.used + len(ids)] = ids
-        at = slice(self.n, self.n + len(sizes))
-        self.start[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
-        self.used, self.n = self.used + len(ids), self.n + len(sizes)
-        return np.arange(at.start, at.stop)
-
-    def cut_back(self, n: int, used: int) -> None:
-        self.n, self.used = n, used
+        self.ids, self.sizes, self.n = [], [np.zeros(1, np.int64)], 1
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
+        """The number of the first of the new stretches that ``ids`` is cut into."""
+        self.ids.append(ids)
+        self.sizes.append(np.asarray(sizes, np.int64))
+        self.n += len(sizes)
+        return self.n - len(sizes)
 
     def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the stretches, one after the other, and where each ends."""
-        sizes = self.size[numbers]
+        table, size = np.concatenate([np.zeros(0, np.uint32), *self.ids]), np.concatenate(self.sizes)
+        start = np.cumsum(size) - size
+        sizes = size.take(numbers)
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        kind = np.int32 if max(total, self.used) < 1 << 31 else np.int64
-        at = np.repeat((self.start[numbers] - ends + sizes).astype(kind), sizes)
+        kind = np.int32 if max(total, len(table)) < 1 << 31 else np.int64
+        at = np.repeat((start.take(numbers) - ends + sizes).astype(kind), sizes)
         at += np.arange(total, dtype=kind)
-        return self.ids.take(at), ends
+        return table.take(at), ends
 
 
 def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts], np.int64)
 
 
+class Kept(dict):
+    """chunk -> ids as bytes, filled on demand and emptied when it is full."""
+
+    def __init__(self, encode: Callable[[str], bytes], most: int = STORE_BYTES):
+        super().__init__()
+        self.encode, self.most, self.size = encode, most, 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        made = self.encode(chunk)
+        self.size += len(chunk) + len(made) + 200  # and what a dict's entry takes
+        if self.size > self.most:
+            self.clear()
+            self.size = len(chunk) + len(made) + 200
+        self[chunk] = made
+        return made
+
+
 class Encoder:
     """Ids of whole texts from the ids of their chunks.
 
     ``cut(texts)`` gives Arrow lists of chunks, of which the first one of a text
-    may mean something else than the same chunk later on (``first``).  ``many``
-    encodes chunks, ``whole`` texts that can't be cut (``uncut`` finds them by
-    a pattern of RE2).  ``chunks``, if given, cuts those that have no ``special``
-    string after all.  Each encoder returns ids as little-endian uint32 bytes."""
+    may mean something else than the same chunk later on (``first``).
+    ``many(chunks, first)`` encodes an Arrow array of chunks: ids and how many
+    each has.  ``uncut`` finds, by a pattern of RE2, the texts that can't be cut:
+    ``chunks``, if given, cuts those that have no ``special`` string after all,
+    and ``whole`` encodes the others.  Ids of a text are little-endian uint32."""
 
     def __init__(self, cut: Callable, uncut: str, special: list[str], many: Callable, one: Callable, first: bool, chunks: Callable | None = None):
-        self.cut, self.uncut, self.special, self.many_new, self.one, self.first, self.chunks = cut, uncut, special, many, one, first, chunks
-        self.whole = one
-        self.reset()
-
-    def reset(self) -> None:
-        self.table, self.later, self.plain = Stretches(), {}, {}
-        self.table.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))  # 0: no ids
-
-    def _numbers(self, known: dict, chunks: list[str], encode: Callable) -> np.ndarray:
-        got = np.fromiter(map(known.get, chunks, [-1] * len(chunks)), np.int64, len(chunks))
-        new = np.flatnonzero(got < 0)
-        if len(new):
-            words = list(dict.fromkeys([chunks[i] for i in new.tolist()]))
-            numbers = self.table.add(*encode(words))
-            known.update(zip(words, numbers.tolist()))
-            got[new] = [known[chunks[i]] for i in new.tolist()]
-        return got
-
-    def _plain(self, chunks: list[str]) -> np.ndarray:
-        return self._numbers(self.plain, chunks, lambda words: joined([self.one(x) if x else b"" for x in words]))
-
-    def _uncut(self, text: str) -> np.ndarray:
+        self.cut, self.uncut, self.special, self.many, self.first, self.chunks = cut, uncut, special, many, first, chunks
+        self.whole, self.kept = one, Kept(one)
+
+    def _uncut(self, text: str) -> bytes:
         if self.chunks and not any(s in text for s in self.special):
-            return self.table.gather(self._plain(self.chunks(text)))[0]
-        return np.frombuffer(self.whole(text), "<u4")
+            return b"".join(map(self.kept.__getitem__, self.chunks(text)))
+        return self.whole(text)
 
     def __call__(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and where each text's end."""
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        if len(self.later) + len(self.plain) > STORE:
-            self.reset()
         odd = pc.match_substring_regex(texts, self.uncut)
         lists = self.cut(pc.if_else(odd, "", texts))
-        starts = np.asarray(lists.offsets)[:-1] - lists.offsets[0].as_py()
-        coded = lists.flatten().dictionary_encode()
-        numbers = self._numbers(self.later, coded.dictionary.to_pylist(), self.many_new)[np.asarray(coded.indices)]
+        starts = np.asarray(lists.offsets)[:-1].astype(np.int64) - lists.offsets[0].as_py()
+        flat = lists.flatten()
+        table = Stretches()
+        coded = flat.dictionary_encode()
+        numbers = table.add(*self.many(coded.dictionary, False)) + np.asarray(coded.indices).astype(np.int64)
         if self.first:
-            numbers[starts] = self._plain(lists.flatten().take(pa.array(starts)).to_pylist())
+            coded = flat.take(pa.array(starts)).dictionary_encode()
+            numbers[starts] = table.add(*self.many(coded.dictionary, True)) + np.asarray(coded.indices)
         whole = np.flatnonzero(np.asarray(odd))
-        made = [self._uncut(texts[i].as_py()) for i in whole.tolist()]
-        mark = self.table.n, self.table.used
-        if made:
-            numbers[starts[whole]] = self.table.add(np.concatenate(made), np.array([len(x) for x in made], np.int64))
+        if len(whole):
+            numbers[starts[whole]] = table.add(*joined([self._uncut(texts[i].as_py()) for i in whole.tolist()])) + np.arange(len(whole))
         if end is not None:
-            last = self.table.add(np.array([end], np.uint32), np.ones(1, np.int64))[0]
+            last = table.add(np.array([end], np.uint32), [1])
             numbers = np.insert(numbers, np.append(starts[1:], len(numbers)), last)
             starts = starts + np.arange(n)
-        ids, ends = self.table.gather(numbers)
-        self.table.cut_back(*mark)
+        ids, ends = table.gather(numbers)
         return ids, ends[np.append(starts[1:], len(numbers)) - 1]
 
     def encode(self, text: str) -> bytes:
@@ -171,79 +151,86 @@ def byte_level(many: Callable, one: Callable, special: list[str]) -> Encoder:
 #: Byte-level files spell a byte as a printable letter: printable bytes of
 #: Latin-1 stand for themselves, the others for the letters from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SPELLED: dict[int, str] = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-
-
-class Heads:
-    """Ids of chunks that begin with letters.  A run of letters is a piece of
-    its own for either kind of file, so it goes to the file's model alone, and
-    what follows it, which is rarely new, to the whole tokenizer."""
-
-    def __init__(self, tok, pattern: str, before: str, lower: bool, one: Callable):
-        self.match, self.tokenize = regex.compile(pattern).match, tok.model.tokenize
-        self.before, self.lower, self.one = before, lower, one
-        self.heads: dict[str, bytes] = {}
-        self.rests: dict[str, bytes] = {}
-
-    def _model(self, head: str) -> bytes:
-        low = head.lower() if self.lower else head
-        spelled = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(_SPELLED)
-        return array("I", [t.id for t in self.tokenize(self.before + spelled)]).tobytes()
-
-    def __call__(self, words: list[str], other: Callable) -> tuple[np.ndarray, np.ndarray]:
-        """``other`` encodes a list of the words that don't begin with letters."""
-        heads, rests, match = self.heads, self.rests, self.match
-        for known in (heads, rests):
-            if len(known) > 150_000:
-                known.clear()
-        out: list = [None] * len(words)
-        left = []
-        for i, x in enumerate(words):
-            m = match(x)
-            if m is None:
-                left.append(i)
-                continue
-            head = m[0]
-            ids = heads.get(head)
-            if ids is None:
-                ids = heads[head] = self._model(head)
-            if len(head) < len(x):
-                rest = x[len(head) :]
-                more = rests.get(rest)
-                if more is None:
-                    more = rests[rest] = self.one(rest)
-                ids += more
-            out[i] = ids
-        for i, ids in zip(left, other([words[i] for i in left])):
-            out[i] = ids
-        return joined(out)
-
-
-@lru_cache(maxsize=2)
-def library_encoder(path: str) -> Encoder:
-    """Ids of the tokenizers library for a byte-level file."""
+SPELLED: dict[int, str] = {b: chr(b) for b in _PLAIN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+BYTES: dict[str, int] = {c: b for b, c in SPELLED.items()}
+
+
+#: Letters of which a run is a piece of its own for either kind of file, and
+#: what may follow it: ASCII that doesn't begin with a letter, or nothing.
+LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+LETTERS = LATIN + "Ā-ɏΑ-ΡΣ-Ωα-ωЀ-ҁҊ-ԯぁ-ゖァ-ヺ一-龥가-힣"
+_REST = r"[\x00-\x40\x5b-\x60\x7b-\x7f][\x00-\x7f]*"
+
+
+class Words:
+    """Encodes chunks that begin with a run of ``letters``: the run is merged
+    side by side with the others, and what follows it, which is seldom new, goes
+    to the library (``one``), as other chunks do."""
+
+    def __init__(self, merges: dict[bool, Callable], letters: str, lower: bool, space: str, one: Callable):
+        self.merges = merges  # for the first chunk of a text, and for the others
+        self.kept, self.lower = {True: Kept(one), False: Kept(lambda x: one(space + x))}, lower
+        self.pattern = f"^(?P<head>[{letters}]+)(?P<rest>(?:{_REST})?)$"
+
+    def __call__(self, words: pa.Array, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        made = pc.extract_regex(words, self.pattern)
+        heads = pc.struct_field(made, [0])
+        fits = np.asarray(pc.fill_null(pc.less_equal(pc.binary_length(heads), LONGEST), False))
+        at, table = np.flatnonzero(fits), Stretches()
+        numbers = np.zeros((len(words), 2), np.int64)
+        if len(at):
+            place = pa.array(at)
+            heads, rests = heads.take(place), pc.struct_field(made, [1]).take(place)
+            coded = (pc.utf8_lower(heads) if self.lower else heads).dictionary_encode()
+            ends = np.frombuffer(coded.dictionary.buffers()[1], np.int32)[coded.dictionary.offset :][: len(coded.dictionary) + 1].astype(np.int64)
+            data = np.frombuffer(coded.dictionary.buffers()[2], np.uint8)
+            numbers[at, 0] = table.add(*self.merges[first](data, ends[:-1], np.diff(ends))) + np.asarray(coded.indices)
+            coded = rests.dictionary_encode()
+            after = self.kept[True]
+            numbers[at, 1] = table.add(*joined([after[x] if x else b"" for x in coded.dictionary.to_pylist()])) + np.asarray(coded.indices)
+        left = np.flatnonzero(~fits)
+        if len(left):
+            numbers[left, 0] = table.add(*joined(list(map(self.kept[first].__getitem__, words.take(pa.array(left)).to_pylist())))) + np.arange(len(left))
+        ids, ends = table.gather(numbers.reshape(-1))
+        return ids, np.diff(ends[1::2], prepend=0)
+
+
+def merges_of(path: str, space: bool) -> dict[bool, Merges]:
+    """The merges of a file, for words at the beginning of a text and for others,
+    before which a ``space`` may stand."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        raise ValueError("not a plain byte-pair model")
+    pairs = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    symbol = lambda suffix: np.array([vocab[SPELLED[b] + suffix] for b in range(256)])
+    made = Merges(symbol(""), symbol(end), [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs])
+    return {True: made, False: made.after(vocab[SPELLED[32]]) if space else made}
+
+
+def _library(path: str) -> tuple[Callable, list[str]]:
     tok = load(path)
-    special = sorted(t.content for t in tok.get_added_tokens_decoder().values())
 
     def one(text: str) -> bytes:
         return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    heads = Heads(tok, r"\p{L}+", _SPELLED[32], False, one)
-    return byte_level(lambda words: heads(words, lambda rest: [one(" " + x) for x in rest]), one, special)
+    return one, sorted(t.content for t in tok.get_added_tokens_decoder().values())
+
+
+@lru_cache(maxsize=2)
+def library_encoder(path: str) -> Encoder:
+    """Ids of the tokenizers library for a byte-level file."""
+    one, special = _library(path)
+    return byte_level(Words(merges_of(path, True), LETTERS, False, " ", one), one, special)
 
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> Encoder:
-    """Ids of the tokenizers library for a file that drops white space: chunks
-    are the words between white space.  Control characters that only Python and
-    Arrow count as white space, and special tokens, send a text to the library
-    whole."""
-    tok = load(path)
-    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    """Ids of the tokenizers library for a file that lowers letters and drops
+    white space: chunks are the words between white space.  Control characters
+    that only Python and Arrow count as white space, and special tokens, send a
+    text to the library whole."""
+    one, special = _library(path)
     uncut = "[\x1c-\x1f\x85\u180e]|" + "|".join(map(re.escape, special))
-    def one(text: str) -> bytes:
-        return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
-
-    # Latin letters before ASCII: normalising such a word only lowers its letters.
-    heads = Heads(tok, "[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-\x7f]*$)", "", True, one)
-    return Encoder(pc.utf8_split_whitespace, uncut, special, lambda words: heads(words, lambda rest: [one(x) if x else b"" for x in rest]), one, False)
+    return Encoder(pc.utf8_split_whitespace, uncut, special, Words(merges_of(path, False), LATIN, True, "", one), one, False)

@@ -1,6 +1,7 @@
 """Packing (1), id files (3) and BPE (5) against the tokenizers library."""
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 
@@ -34,7 +35,6 @@ def test_chunked_encoding_is_the_librarys():
             assert encode.encode(text) == raw(one(text)), text
         ids, ends = encode(pa.array(odd), 7)  # and all together
         assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*one(t), 7] for t in odd]
-        encode.reset()
         assert encode(pa.array(odd[5:], pa.string()))[0].tolist() == [i for t in odd[5:] for i in one(t)]
 
 
@@ -81,10 +81,14 @@ def test_block_round_trip_and_damage():
         data = idcoder.encode_block(ids)
         assert (idcoder.decode_block(data) == ids).all()
     assert len(idcoder.encode_block(np.full(9000, 7, np.uint32))) < 2000
-    hurt = bytearray(data)
-    hurt[-3] ^= 1
-    with pytest.raises(idcoder.BlockError):
-        idcoder.decode_block(bytes(hurt))
+    for bit in [*range(8 * 40), *rng.integers(0, 8 * len(data), 40).tolist()]:  # header and payload
+        hurt = bytearray(data)
+        hurt[bit // 8] ^= 1 << bit % 8
+        with pytest.raises(idcoder.BlockError):
+            idcoder.decode_block(bytes(hurt))
+    for cut in (0, 10, 31, 32, len(data) - 1):
+        with pytest.raises(idcoder.BlockError):
+            idcoder.decode_block(data[:cut])
 
 
 def test_id_files(spark, cases, empty):
@@ -101,6 +105,22 @@ def test_id_files(spark, cases, empty):
     path = stage_path(spark, "t")
     idcoder.write(empty, path, BYTE)
     assert idcoder.read(spark, path).count() == 0
+    path = stage_path(spark, "t")
+    idcoder.write(spark.createDataFrame([("b", "x y"), (None, "z"), ("a", None)], "doc_id string, text string"), path, BYTE)
+    assert [(r.doc_id, r.start) for r in sorted(idcoder.read(spark, path).collect(), key=lambda r: r.start)] == [(None, 0), ("a", 2), ("b", 3)]
+
+
+def test_a_row_that_is_not_its_block(spark, sf):
+    """Lengths, counts and checksums of a row are held against the block."""
+    from pyspark.sql import functions as F
+
+    path = stage_path(spark, "t")
+    idcoder.write(sf.limit(20), path, BYTE)
+    for column, value in (("n_ids", F.col("n_ids") + 1), ("ids_crc32", F.col("ids_crc32") + 1), ("lengths", F.transform("lengths", lambda x: x + 1)), ("doc_ids", F.slice("doc_ids", 1, 3))):
+        hurt = stage_path(spark, "t")
+        spark.read.parquet(path).withColumn(column, value).write.parquet(hurt)
+        with pytest.raises(Exception, match="BlockError"):
+            idcoder.read(spark, hurt).collect()
 
 
 def test_automaton_accepts_only_the_tokenization():
@@ -110,6 +130,46 @@ def test_automaton_accepts_only_the_tokenization():
     assert not a.arc(97, 98) and not a.arc(97, 97) and a.arc(201, 97) and not a.arc(97, 201)
 
 
+def test_automaton_equals_the_library_on_random_merges():
+    """Trained lists, lists with merges that can't happen, and unordered ones."""
+    from tokenizers import Tokenizer, models
+
+    rng, unfit = random.Random(0), 0
+    for _ in range(1500):
+        alphabet = "abc"[: rng.randint(1, 3)]
+        vocab = {c: i for i, c in enumerate(alphabet)}
+        merges: list = []
+        for _ in range(rng.randint(0, 8)):
+            a, b = rng.choice(list(vocab)), rng.choice(list(vocab))
+            if len(a + b) <= 7 and (a, b) not in merges and (a + b not in vocab or rng.random() < 0.3):
+                vocab.setdefault(a + b, len(vocab))
+                merges.append((a, b))
+        if rng.random() < 0.2:
+            rng.shuffle(merges)
+        library = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+        labels, pairs = {k.encode(): v for k, v in vocab.items()}, [(a.encode(), b.encode()) for a, b in merges]
+        try:
+            bpe.Automaton(labels, pairs)
+        except bpe.Unfit:
+            unfit += 1
+        encode = bpe.encoder_of(labels, pairs)
+        for _ in range(10):
+            word = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 14)))
+            assert encode(word.encode()) == library.encode(word).ids, (merges, word)
+    assert 50 < unfit < 700
+
+
+def test_merges_side_by_side_equal_the_library():
+    tok = vocab.load(BYTE)
+    rng = random.Random(1)
+    words = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(1, 30))) for _ in range(3000)] + ["straße", "naïve", "a"]
+    data = [w.encode() for w in words]
+    sizes = np.array([len(x) for x in data])
+    for first, space in ((True, ""), (False, " ")):
+        ids, n = vocab.merges_of(BYTE, True)[first](np.frombuffer(b"".join(data), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(space + w, add_special_tokens=False).ids for w in words]
+
+
 def test_bpe(cases, empty):
     tok = vocab.load(BYTE)
     for df, rows in cases:
