@@ -7,20 +7,29 @@ needing fewest phrases, normalised by text length and the logarithm of its
 sample's length, wins.
 
 Letters are lower-cased and each stretch of other characters counts as one
-separator.  The automata become one dense transition table that also counts the
-phrases closed, so many pieces of text take a step with one lookup each.  Whole
-texts are parsed, in pieces of ``PIECE`` characters that start phrases anew, so
-that long texts take no more steps than others.
-
-The sample is bounded by ``sample_docs`` rows a language, ``DOC_CHARS``
-characters of each, and ``sample_chars`` characters in all; rows are chosen by a
-hash of the id, alike in all runs.
+separator.  Every letter of every sample has a code; a letter that a language's
+sample lacks counts as two phrases: an empty match, and the letter itself.  The automata become transition tables that also count the
+phrases closed, so many texts take a step with a few lookups each: dense tables
+where the samples have few letters, else sparse ones (an arc stands at the base
+of its state plus its letter), with the same result.
+
+Whole texts are parsed, and the parse is that of the whole text.  Texts are cut
+into pieces of ``PIECE`` letters that all start at once; then each piece is begun
+again from the state in which the piece before it ended, until it meets the first
+parse (mostly within ``MEET`` letters), and so on until no end changes.
+
+The sample is bounded by parameters of ``learn``: ``sample_docs`` rows a language,
+``doc_chars`` characters of each, at a place chosen by a hash, and
+``sample_chars`` characters in all; rows are chosen by a hash of the id, alike in
+all runs.  What the driver holds grows with the number of languages only.
 
 Defined results: a null text and one without letters give ``und`` with score 0;
-rows with null language are predicted and never learned from; ties go to the
-language first in order; repeated rows are predicted as often as they come; an
-empty table gives an empty result, and with nothing to learn from every text is
-``und``; other columns are ignored by ``predict`` and carried by ``accept``.
+rows with null language are predicted and never learned from; null ids count as
+one id in the choice of the sample; ties go to the language first in order;
+repeated rows are predicted as often as they come; an empty table gives an empty
+result, and with nothing to learn from every text is ``und``; other columns are
+ignored by ``predict`` and carried by ``accept``.  Where there was nothing to learn
+from, ``accept`` keeps every row whose text has a letter.
 """
 
 import math
@@ -33,9 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, map_arrow
+from .common import map_arrow, small
+
+SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS, PIECE, MEET = 200, 24_000, 6_000, 1024, 128
 
-SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS, PIECE, MOST_LETTERS, MOST_LANGS = 200, 24_000, 6_000, 1024, 120, 500
+#: Up to this many letters the tables are dense.
+DENSE = 160
 UNKNOWN = "und"
 
 
@@ -93,66 +105,147 @@ def suffix_automaton(seq: list[int]) -> list[dict[int, int]]:
     return arcs
 
 
+class Dense:
+    """Next state * 4 + phrases closed, at state * letters + letter."""
+
+    def __init__(self, arcs: list[dict[int, int]], width: int):
+        self.width = width
+        table = np.full((len(arcs), width), -1, np.int32)
+        for s, own in enumerate(arcs):
+            for c, t in own.items():
+                table[s, c] = t
+        root, absent = table[0].copy(), table < 0
+        # A failed match closes the open phrase; an unknown letter is two by itself.
+        restart = np.where(root < 0, 2, root * 4).astype(np.int32)
+        closes = (np.arange(len(arcs)) > 0).astype(np.int32)[:, None]
+        self.table = np.where(absent, restart[None] + closes, table * 4).astype(np.int32).reshape(-1)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        return self.table.take(state * self.width + letter)
+
+
+class Sparse:
+    """The same with an arc at ``base[state] + letter``, where its state is named."""
+
+    def __init__(self, arcs: list[dict[int, int]], width: int):
+        n = sum(map(len, arcs))
+        room = 1 << (4 * n + 2 * width).bit_length()
+        self.base = np.full(len(arcs), width, np.int32)
+        self.owner, self.to = np.full(room + 2 * width, -1, np.int32), np.zeros(room + 2 * width, np.int32)
+        self.restart = np.full(width, 2, np.int32)
+        for c, t in arcs[0].items():
+            self.restart[c] = t * 4
+        rng = np.random.default_rng(0)
+        many = sorted((s for s, own in enumerate(arcs) if len(own) > 1), key=lambda s: (-len(arcs[s]), s))
+        for s in many:
+            letter = np.array(list(arcs[s]))
+            while True:
+                at = letter + (base := int(rng.integers(0, room)))
+                if (self.owner[at] < 0).all():
+                    break
+            self.base[s], self.owner[at], self.to[at] = base, s, np.array(list(arcs[s].values())) * 4
+        one = [s for s, own in enumerate(arcs) if len(own) == 1]
+        if one:  # any free place will do; a base may not be negative
+            letter, target = np.array([next(iter(arcs[s])) for s in one]), np.array([next(iter(arcs[s].values())) for s in one])
+            at = np.flatnonzero(self.owner[width : width + room] < 0)[: len(one)] + width
+            self.base[one], self.owner[at], self.to[at] = at - letter, one, target * 4
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        at = self.base.take(state) + letter
+        return np.where(self.owner.take(at) == state, self.to.take(at), self.restart.take(letter) + (state > 0))
+
+
 class Model:
-    """Dense tables: next state * 4 + phrases closed, at state * letters + letter."""
+    """A transition table for each language, over one code for all letters."""
 
-    def __init__(self, samples: dict[str, np.ndarray]):
+    def __init__(self, samples: dict[str, np.ndarray], dense: int = DENSE):
         self.langs = sorted(samples)
-        have, n = np.unique(np.concatenate([*samples.values(), np.zeros(1, np.int32)]), return_counts=True)
-        have, n = have[have != 0], n[have != 0]
-        self.alphabet = np.sort(have[np.argsort(-n, kind="stable")][:MOST_LETTERS])
+        have = np.unique(np.concatenate([*samples.values(), np.zeros(1, np.int32)]))
+        self.alphabet = have[have != 0]
         self.width = len(self.alphabet) + 2  # separator first, any other letter last
         self.tables, self.bits = [], []
         for lang in self.langs:
             seq = self.coded(samples[lang])
-            seq = seq[seq < self.width - 1]
-            arcs = suffix_automaton(seq.tolist())
-            table = np.full((len(arcs), self.width), -1, np.int32)
-            for s, own in enumerate(arcs):
-                for c, t in own.items():
-                    table[s, c] = t
-            root = table[0].copy()
-            absent = table < 0
-            # A failed match closes the open phrase; an unknown letter is a phrase by itself.
-            restart = np.where(root < 0, 1, root * 4).astype(np.int32)
-            closes = (np.arange(len(arcs)) > 0).astype(np.int32)[:, None]
-            self.tables.append(np.where(absent, restart[None] + closes, table * 4).astype(np.int32).reshape(-1))
+            self.tables.append((Dense if len(self.alphabet) <= dense else Sparse)(suffix_automaton(seq.tolist()), self.width))
             self.bits.append(math.log2(max(len(seq), 2)))
 
     def coded(self, low: np.ndarray) -> np.ndarray:
         """Letters as places in the alphabet + 1; 0 stays, others are the last code."""
         if not len(self.alphabet):
-            return np.where(low == 0, 0, self.width - 1).astype(np.uint8)
+            return np.where(low == 0, 0, self.width - 1).astype(np.int32)
         at = np.searchsorted(self.alphabet, low).clip(0, len(self.alphabet) - 1)
-        return np.where(low == 0, 0, np.where(self.alphabet[at] == low, at + 1, self.width - 1)).astype(np.uint8)
-
-    def phrases(self, seqs: list[np.ndarray]) -> np.ndarray:
+        return np.where(low == 0, 0, np.where(self.alphabet[at] == low, at + 1, self.width - 1)).astype(np.int32)
+
+    @staticmethod
+    def _walk(table, steps: np.ndarray, lens: np.ndarray, state: np.ndarray, until: int, mark: int = 0):
+        """Take up to ``until`` steps, pieces being in order of falling length:
+        (state, phrases closed) at the end and after ``mark`` steps."""
+        state, count = state.copy(), np.zeros(len(state), np.int64)
+        early = state.copy(), count.copy()
+        last = min(until, int(lens[0])) if len(lens) else 0
+        active = np.searchsorted(-lens, -np.arange(last), "left")  # pieces longer than each step
+        for k in range(last):
+            if k == mark:
+                early = state.copy(), count.copy()
+            m = active[k]
+            to = table.step(state[:m], steps[k, :m])
+            count[:m] += to & 3
+            state[:m] = to >> 2
+        return state, count, early if mark < last else (state.copy(), count.copy())
+
+    def phrases(self, seqs: list[np.ndarray], piece: int = PIECE, meet: int = MEET) -> np.ndarray:
         """Phrases of each sequence in each language: int64[len(seqs), languages]."""
-        cuts = [(i, s[k : k + PIECE]) for i, s in enumerate(seqs) for k in range(0, len(s), PIECE)]
-        cuts.sort(key=lambda x: -len(x[1]))
+        out, group, size = np.zeros((len(seqs), len(self.langs)), np.int64), [], 0
+        for i, s in enumerate(seqs):
+            group.append(i)
+            size += -(-len(s) // piece)
+            if size >= 16_384 or i == len(seqs) - 1:
+                out[group] = self._phrases([seqs[k] for k in group], piece, meet)
+                group, size = [], 0
+        return out
+
+    def _phrases(self, seqs: list[np.ndarray], piece: int, meet: int) -> np.ndarray:
+        cuts = [(i, s[k : k + piece], k + piece >= len(s)) for i, s in enumerate(seqs) for k in range(0, len(s), piece)]
         out = np.zeros((len(seqs), len(self.langs)), np.int64)
-        for at in range(0, len(cuts), 16_384):
-            part = cuts[at : at + 16_384]
-            owner, lens = np.array([i for i, _ in part]), np.array([len(s) for _, s in part])
-            steps = np.zeros((len(part), lens[0]), np.uint8)
-            for row, (_, s) in enumerate(part):
-                steps[row, : len(s)] = s
-            steps = np.ascontiguousarray(steps.T)
-            active = np.searchsorted(-lens, -np.arange(lens[0]), "left")  # pieces longer than each step
-            for g, table in enumerate(self.tables):
-                state, count = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
-                for k in range(lens[0]):
-                    m = active[k]
-                    to = table.take(state[:m] * self.width + steps[k, :m])
-                    count[:m] += to & 3
-                    state[:m] = to >> 2
-                out[:, g] += np.bincount(owner, count + (state > 0), len(seqs)).astype(np.int64)
+        if not cuts:
+            return out
+        owner, lens = np.array([i for i, _, _ in cuts]), np.array([len(s) for _, s, _ in cuts])
+        ends = np.array([e for _, _, e in cuts])
+        order = np.argsort(-lens, kind="stable")
+        place = np.empty(len(cuts), np.int64)
+        place[order] = np.arange(len(cuts))
+        steps = np.zeros((len(cuts), int(lens.max())), np.uint8 if self.width < 256 else np.int32)
+        for row, at in enumerate(order.tolist()):
+            steps[row, : lens[at]] = cuts[at][1]
+        steps, lens = np.ascontiguousarray(steps.T), lens[order]
+        before = np.full(len(cuts), -1)  # the piece that a piece goes on from, by place
+        follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        before[place[follows]] = place[follows - 1]
+        for g, table in enumerate(self.tables):
+            begun = np.zeros(len(cuts), np.int64)
+            state, count, early = self._walk(table, steps, lens, begun, piece, meet)
+            while True:
+                again = np.flatnonzero((before >= 0) & (begun != state[before]))
+                if not len(again):
+                    break
+                begun[again] = state[before[again]]
+                met_state, met_count, _ = self._walk(table, steps[:, again], lens[again], begun[again], meet)
+                met = met_state == early[0][again]
+                at = again[met]
+                count[at] += met_count[met] - early[1][at]
+                early[1][at] = met_count[met]
+                at = again[~met]
+                if len(at):
+                    state[at], count[at], now = self._walk(table, steps[:, at], lens[at], begun[at], piece, meet)
+                    early[0][at], early[1][at] = now
+            count[place[ends]] += state[place[ends]] > 0  # the phrase that the end of the text closes
+            out[:, g] = np.bincount(owner, count[place], len(seqs))
         return out
 
     def predict(self, texts: list) -> tuple[list[str], list[float]]:
         seqs = [folded(t) if t else np.zeros(0, np.int32) for t in texts]
         known = [bool((s != 0).any()) and bool(self.langs) for s in seqs]
-        seqs = [self.coded(s) if k else s[:0].astype(np.uint8) for s, k in zip(seqs, known)]
+        seqs = [self.coded(s) if k else s[:0] for s, k in zip(seqs, known)]
         if not any(known):
             return [UNKNOWN] * len(texts), [0.0] * len(texts)
         cost = self.phrases(seqs) * np.array(self.bits)[None] / np.maximum([len(s) for s in seqs], 1)[:, None]
@@ -166,18 +259,16 @@ class Model:
         return [self.langs[b] if k else UNKNOWN for b, k in zip(best, known)], [float(s) if k else 0.0 for s, k in zip(score, known)]
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, doc_chars: int = DOC_CHARS) -> Model:
     """Learn from the labelled rows of ``docs``; what reaches the driver is at
-    most about 2 * sample_docs * DOC_CHARS characters a language."""
-    rows = docs.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(F.col(f"`{id_col}`"), F.lit("sample")).alias("h"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    most about 2 * sample_docs * doc_chars characters a language."""
+    rows = docs.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("sample")).alias("h"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
     if not sizes:
         return Model({})
     below = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * sample_docs / n)))])
     u = F.col("h").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    got = rows.where(u < below[F.col("lang")]).select("lang", "h", F.substring("text", 1, DOC_CHARS).alias("text")).collect()
+    got = rows.where(u < below[F.col("lang")]).select("lang", "h", F.expr(f"substring(text, cast(1 + pmod(h, greatest(char_length(text) - {doc_chars}, 0) + 1) as int), {doc_chars})").alias("text")).collect()
     samples = {}
     for lang in sizes:
         own = sorted((r.h, r.text) for r in got if r.lang == lang)[:sample_docs]
@@ -192,14 +283,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for each row."""
-    batch_rows(docs.sparkSession, 2000)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast((model, letters()))
 
     def run(it):
         own, table = sent.value
         _LETTERS[:] = [table]
-        for b in it:
+        for b in small(it):
             lang, score = own.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -210,7 +300,6 @@ def accept(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """The rows of ``docs`` that have a language (not ``und``) with at least
     ``least_score``, all columns as they were: a filter, row by row, without a
     shuffle or join."""
-    batch_rows(docs.sparkSession, 2000)
     sent = docs.sparkSession.sparkContext.broadcast((model, letters()))
 
     @F.pandas_udf("boolean")
@@ -219,7 +308,10 @@ def accept(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         _LETTERS[:] = [table]
         for texts in batches:
             lang, score = own.predict(texts.tolist())
-            yield pd.Series([x != UNKNOWN and s >= least_score for x, s in zip(lang, score)], dtype=bool)
+            if own.langs:
+                yield pd.Series([x != UNKNOWN and s >= least_score for x, s in zip(lang, score)], dtype=bool)
+            else:
+                yield pd.Series([bool(letters()[points(t)].any()) for t in texts], dtype=bool)
 
     return docs.where(fits(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 

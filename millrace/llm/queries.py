@@ -20,7 +20,8 @@ def tokenizer_path(name: str) -> str:
 
 
 def remainder(mod: int):
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod))
+    """crc32 of the id's text modulo ``mod``; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
 def op1_packing(spark, sf_dir):

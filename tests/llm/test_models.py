@@ -22,20 +22,45 @@ def brute_phrases(text, sample):
         while at + size <= len(text) and text[at : at + size] in sample:
             size += 1
         at += max(1, size - 1)
-        n += 1
+        n += 2 if size == 1 else 1  # a letter that the sample lacks counts twice
     return n
 
 
 def test_cross_parse_is_longest_match():
+    """For short and long texts, dense and sparse tables, and pieces of any size."""
     rng = np.random.default_rng(2)
     samples = {g: langid.folded("".join(rng.choice(list(a), 400))) for g, a in (("x", "abc de"), ("y", "cdef gé"))}
-    model = langid.Model(samples)
-    texts = ["".join(rng.choice(list("abcdefgéq "), 90)) for _ in range(30)]
+    texts = ["".join(rng.choice(list("abcdefgéq "), rng.integers(0, 2500))) for _ in range(12)] + ["".join(rng.choice(list("abc"), 5000)), "abc" * 2000, "q" * 500]
     seqs = [langid.folded(t) for t in texts]
     spell = lambda s: "".join(chr(c) for c in s)
-    got = model.phrases([model.coded(s) for s in seqs])
-    for g, lang in enumerate(model.langs):
-        assert [int(x) for x in got[:, g]] == [brute_phrases(spell(s), spell(samples[lang])) for s in seqs]
+    want = {g: [brute_phrases(spell(s), spell(samples[g])) for s in seqs] for g in samples}
+    for dense in (160, 0):
+        model = langid.Model(samples, dense)
+        for piece, meet in ((1024, 128), (7, 2), (64, 1), (16, 16)):
+            got = model.phrases([model.coded(s) for s in seqs], piece, meet)
+            for g, lang in enumerate(model.langs):
+                assert got[:, g].tolist() == want[lang]
+        cost = np.array([want[g] for g in model.langs]).T * np.array(model.bits)
+        lang, score = model.predict(texts)
+        for k in range(len(texts)):
+            if any(c.isalpha() for c in texts[k]):
+                assert lang[k] == model.langs[int(cost[k].argmin())] and score[k] == pytest.approx(cost[k].max() / cost[k].sum())
+
+
+def test_scripts_of_many_letters():
+    rng = np.random.default_rng(3)
+    scripts = {g: [chr(at + i) for i in range(2048)] for g, at in (("zz", 0x4E00), ("aa", 0xAC00), ("mm", 0x3400))}
+    model = langid.Model({g: langid.folded("".join(rng.choice(own, 24_000))) for g, own in scripts.items()})
+    assert len(model.alphabet) == 3 * 2048
+    for g, own in scripts.items():
+        assert set(model.predict(["".join(rng.choice(own, 300)) for _ in range(20)])[0]) == {g}
+
+
+def test_many_languages():
+    rng = np.random.default_rng(4)
+    samples = {f"l{k:03}": langid.folded("".join(rng.choice(list("abcdefgh"), 60, p=rng.dirichlet(np.ones(8))))) for k in range(600)}
+    model = langid.Model(samples)
+    assert len(model.langs) == 600 and model.predict(["abcdefgh"])[0][0] in samples
 
 
 def test_language_accuracy(spark):
@@ -54,6 +79,7 @@ def test_language_edges(edge, empty):
     assert kept.columns == edge.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.lang_pred != "und"}
     nothing = langid.learn(empty)
     assert {r.lang_pred for r in langid.predict(edge, nothing).collect()} == {"und"}
+    assert {r.doc_id for r in langid.accept(edge, nothing).collect()} == {r.doc_id for r in kept.collect()}  # no label: all with a letter
     assert langid.predict(empty, model).count() == 0
 
 
