@@ -5,8 +5,8 @@ writes as Parquet to the shared folder and reads back as the next one's docs.
 
 * language: documents without a language (null text or no letter) go;
 * exact dedup: of equal texts the one with the largest id stays;
-* near dedup: of each class of near copies (five-word shingles, similarity of 0.8
-  or more) the one with the smallest id stays;
+* near dedup: of each class of near copies by SimHash (five-word shingles,
+  similarity of 0.8 or more) the one with the smallest id stays;
 * packing: what is left is packed into training sequences, a row per piece.
 
 ``language`` learns from the labelled rows among its own input.
