@@ -171,13 +171,13 @@ def test_image_copies(spark):
     made = images.drawn(spark.createDataFrame(vectors.collect(), vectors.schema))
     rows = made.collect() + [(900, None), (901, b""), (902, b"junk"), (903, images.pgm(np.zeros((50, 50))))]
     rows += [(904, rows[5].image), (905, images.pgm(np.zeros((50, 50))))]
-    got = {r.image_id: (r.class_id, r.n_links) for r in images.copies(spark.createDataFrame(rows, "image_id long, image binary").repartition(3)).collect()}
+    got = {r.image_id: (r.class_id, r.class_size) for r in images.copies(spark.createDataFrame(rows, "image_id long, image binary").repartition(3)).collect()}
     assert len(got) == len(rows)
     same = {i: got[i][0] for i in got}
     for i in range(0, 60, 10):
         assert same[i] == same[-1 - i] == -1 - i
-    assert same[904] == rows[5].image_id and got[904][1] >= 1 and same[903] == same[905] == 903
-    assert all(got[i] == (i, 0) for i in range(60) if i % 10 and i != rows[5].image_id) and got[900] == (900, 0) and got[902] == (902, 0)
+    assert same[904] == same[rows[5].image_id] and got[904][1] >= 2 and same[903] == same[905] == 903
+    assert all(got[i] == (i, 1) for i in range(60) if i % 10 and i != rows[5].image_id) and got[900] == (900, 1) and got[902] == (902, 1)
     assert images.copies(spark.createDataFrame([], "image_id long, image binary")).count() == 0
 
 
