@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that become Python objects together, and that are encoded together.
-PART_BYTES, GROUP_BYTES = 4 << 20, 8 << 20
+PART_BYTES, GROUP_BYTES = 4 << 20, 4 << 20
 
 _MADE: list[tuple[object, str]] = []
 
@@ -72,7 +75,20 @@ def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    def run(it):
+        yield from fn(it)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker process outlives its task,
+    and what it keeps would count against the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def parts(b: pa.RecordBatch, column: str = "text", size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:

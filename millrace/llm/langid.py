@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small
+from .common import give_back, map_arrow, parts, small
 
 SAMPLE_DOCS, SAMPLE_CHARS, DOC_CHARS, PIECE, MEET = 200, 24_000, 6_000, 1024, 128
 
@@ -307,11 +307,15 @@ def accept(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         own, table = sent.value
         _LETTERS[:] = [table]
         for texts in batches:
-            lang, score = own.predict(texts.tolist())
-            if own.langs:
-                yield pd.Series([x != UNKNOWN and s >= least_score for x, s in zip(lang, score)], dtype=bool)
-            else:
-                yield pd.Series([bool(letters()[points(t)].any()) for t in texts], dtype=bool)
+            kept: list[bool] = []
+            for b in parts(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])):
+                own_texts = b.column("text").to_pylist()
+                if own.langs:
+                    kept += [x != UNKNOWN and s >= least_score for x, s in zip(*own.predict(own_texts))]
+                else:
+                    kept += [bool(letters()[points(t)].any()) for t in own_texts]
+            yield pd.Series(kept, dtype=bool)
+        give_back()
 
     return docs.where(fits(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 

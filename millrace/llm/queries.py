@@ -80,18 +80,18 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_id_files, op4_simhash, op5_bpe, op6_image_copies, op7_exact_dedup, op8_sharding, op9_lm_score, op10_line_dedup, pipeline)}
 
+#: Rows repeated in the table are documents of their own.
 _LINES = """
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS own FROM documents),
+lines AS (SELECT row_id, doc_id, unnest(own) AS line, generate_subscripts(own, 1) AS pos FROM docs),
 keyed AS (
-  SELECT doc_id, pos, line,
+  SELECT row_id, doc_id, pos, line,
          translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
-common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE c.k IS NOT NULL))::BIGINT AS n_dropped,
+common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT row_id) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE c.k IS NOT NULL))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN common c ON keyed.k = c.k GROUP BY doc_id
+FROM keyed LEFT JOIN common c ON keyed.k = c.k GROUP BY row_id
 """
 
 ORACLES = {

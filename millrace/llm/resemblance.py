@@ -6,7 +6,7 @@ classes are the connected components of the links.  At that similarity some 15 %
 of all SimHash bits differ, too many for bands of whole bits, so buckets come
 from min-hashes in bands: documents that agree in all ``ROWS`` minima of one of
 ``BANDS`` bands.  Two documents of similarity s meet with a chance of
-1 - (1 - s^ROWS)^BANDS, which is above 0.99998 from 0.8 on.  Each document is tied
+1 - (1 - s^ROWS)^BANDS, which is above 0.99997 from 0.8 on.  Each document is tied
 to the first of its band only, so what a bucket gives grows with its members and
 not with their pairs; what is tied together, directly or not, is a group.
 
@@ -30,10 +30,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, small, stage
+from .common import give_back, id_text, map_arrow, small, stage
 from .simhash import BROADCAST_IDS, components, keep_least, near, shingles
 
-SHINGLE, BANDS, ROWS, WIDE, RADIUS = 5, 28, 5, 4, 96
+SHINGLE, BANDS, ROWS, WIDE, RADIUS = 5, 20, 4, 4, 96
 
 #: Members and shingles of a chunk.
 CHUNK, CHUNK_SHINGLES = 4096, 2_000_000
@@ -147,7 +147,9 @@ def _links(tenths: int):
         made = table.column("made").combine_chunks()
         label = forest([made[i].values.to_numpy() for i in at.tolist()], tenths)
         moved = label != np.arange(len(marks))
-        return pa.table({"a": marks[moved], "b": marks[label[moved]]})
+        out = pa.table({"a": marks[moved], "b": marks[label[moved]]})
+        give_back()
+        return out
 
     return run
 
@@ -159,7 +161,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     stats = stage(prints.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "marks")
     keys = stats.select("mark", F.explode("keys").alias("key"))
     buckets = stage(keys.groupBy("key").agg(F.min("mark").alias("a"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "buckets")
-    tied = stage(components(keys.join(buckets, "key").select("a", F.col("mark").alias("b"))), "tied")
+    side = F.broadcast(buckets) if buckets.count() <= broadcast_ids else buckets
+    tied = stage(components(keys.join(side, "key").select("a", F.col("mark").alias("b"))), "tied")
     # The first of a group isn't a node of its own.
     tied = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
     group = stage(stats.drop("keys").join(tied, stats.mark == tied.node).drop("node"), "group")

@@ -18,8 +18,8 @@ def test_exact(cases, empty):
         groups = defaultdict(list)
         for i, t in rows:
             groups[t or ""].append(i)
-        for bits in (1 << 27, 1 << 16):
-            got = exact.decisions(df, max_bits=bits, bits_per_row=16).collect()
+        for options in ({}, {"bits_per_row": 1}, {"broadcast_bits": 0}):
+            got = exact.decisions(df, **options).collect()
             assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == Counter((i, max(groups[t or ""]), len(groups[t or ""]), sha(t)) for i, t in rows)
             assert Counter(r.text_sha256 for r in got if r.kept) == Counter(map(sha, groups)) and all(r.doc_id == r.keep_id for r in got if r.kept)
         kept = exact.keep(df)
@@ -34,6 +34,49 @@ def test_exact_is_native(edge):
         assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_repeated_bits_are_exact(spark):
+    """Whatever task a text is in; a text with a third of all rows is no burden."""
+    for text in ("case when id % 3 = 0 then 'hot' else concat('t', id % 2500) end", "case when id % 50 = 0 then concat('s', id % 700) else concat('t', id) end"):
+        df = spark.range(0, 9000, 1, 7).selectExpr("id doc_id", f"{text} text")
+        check_repeated_bits(df)
+
+
+def check_repeated_bits(df):
+    hashes = Counter(r.slot for r in df.select(exact._slot(1 << 20).alias("slot")).collect())
+    for stretches in (1, 128):
+        got = [r.bit for r in exact.repeated_bits(df, 1 << 20, stretches).collect()]
+        assert len(got) == len(set(got)) and set(got) == {k for k, n in hashes.items() if n > 1}
+
+
+def test_first_pass_packs_what_it_shuffles(spark):
+    """Rows shuffled are some hundred a task, however many the texts are."""
+    for n in (20_000, 200_000):
+        df = spark.range(0, n, 1, 4).selectExpr("id doc_id", "concat('t', id) text")
+        packed = exact.repeated_bits(df, 64 * n, exact.STRETCHES)
+        packed.collect()
+        plan = packed._jdf.queryExecution().executedPlan()
+        written = [int(m.value()) for m in _metrics(plan, "shuffleRecordsWritten")]
+        assert written and max(written) <= 4 * exact.STRETCHES
+
+
+def _metrics(plan, name):
+    """The values of a metric over the nodes of an executed plan."""
+    out, left = [], [plan]
+    while left:
+        node = left.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            left.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            left.append(node.plan())
+        got = node.metrics().get(name)
+        if got.isDefined():
+            out.append(got.get())
+        children = node.children()
+        left += [children.apply(i) for i in range(children.size())]
+    return out
+
+
 def test_exact_null_ids(spark):
     df = spark.createDataFrame([(None, "a"), (3, "a"), (None, "b"), (None, "b")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact.decisions(df).collect())
@@ -110,14 +153,43 @@ def brute_lines(rows, least=10):
 
 def test_common_lines(cases, empty):
     for df, rows in cases:
-        for options in ({}, {"broadcast_keys": 0}, {"batches": 3, "fanout": 2}):
+        for options in ({}, {"broadcast_keys": 0}, {"batches": 3}):
             got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in lines.drop_common(df, **options).collect())
             assert got == brute_lines(rows)
     assert lines.drop_common(empty).count() == 0
 
 
+def exchanges(df):
+    """The shuffles of the physical plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.split("\n") if "Exchange" in x]
+
+
+def test_runs_are_never_shuffled(spark):
+    """Merging two runs, and a batch's anti-join with them, stay within buckets."""
+    rng = np.random.default_rng(0)
+    rows = lambda: spark.createDataFrame([(int(h), int(h) * 7, 1) for h in rng.choice(5000, 900, replace=False)], "hi long, lo long, docs long")
+    runs = lines.LineRuns(spark, buckets=4)
+    tables = [lines.bucketed(lines.together(rows(), 4), "t", 4) for _ in range(3)]
+    for t in tables[:2]:
+        runs.push(t)
+    merged = Counter()
+    for t in tables[:2]:
+        merged.update({r.hi: r.docs for r in t.collect()})
+    assert [level for level, _ in runs.runs] == [1] and {r.hi: r.docs for r in runs.merged().collect()} == merged
+    assert not exchanges(lines.LineRuns.merge(*tables[:2])) and not exchanges(runs.without(tables[2]))
+    assert {r.hi for r in runs.without(tables[2]).collect()} == {r.hi for r in tables[2].collect()} - set(merged)
+
+
+def test_keys_that_agree_in_64_bits():
+    table = np.array([(1, 1), (1, 3), (1, 5), (2, 0), (7, 7)])
+    d = np.array([(1, 5), (1, 4), (1, 1), (2, 0), (3, 0), (7, 8), (9, 9), (1, 3)])
+    assert lines.among(d, table).tolist() == [True, False, True, True, False, False, False, True]
+    assert not lines.among(d, table[:0]).any()
+
+
 def test_incremental_runs(spark):
-    runs = lines.LineRuns(spark, fanout=2)
+    runs = lines.LineRuns(spark, buckets=3)
     seen, rows = set(), [[(1, "a\nb"), (2, "b\nc\n")], [(3, "A\nd"), (4, None)], [(5, "d\nnew"), (6, "c")], [(7, "new\nb\nz")]]
     for batch in rows:
         got = {r.doc_id: r.kept_text for r in runs.add(spark.createDataFrame(batch, "doc_id long, text string")).collect()}

@@ -11,7 +11,7 @@ import corpus_pipeline
 from millrace.llm import brown, exact, images, langid, queries, shards
 
 from .conftest import DATA
-from .test_dedup import brute_classes
+from .test_resemblance import brute
 
 
 def brute_phrases(text, sample):
@@ -121,28 +121,68 @@ def brute_base(rows, train):
     return {i: (len(x := brown.tokens(t or "")), sum(w in counts for w in x), sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in x)) for i, t in rows}, n
 
 
+def brute_scores(rows, train, model, alpha=0.5, beta=0.5):
+    """Transitions, emissions and their sums from the classes alone."""
+    cls, n_classes = {}, len(model.transition)
+    places = brown.Places(model.known, model.tails)
+    of = lambda w: cls.setdefault(w, int(model.class_of[places[w]]))
+    pairs, counts = Counter(), Counter()
+    for t in train:
+        toks = brown.tokens(t or "")
+        counts.update(toks)
+        pairs.update(zip(map(of, [brown.END, *toks]), map(of, toks)))
+    out, into, size, types = Counter(), Counter(), Counter(), Counter()
+    for (a, _), n in pairs.items():
+        out[a] += n
+    for w, n in counts.items():
+        size[of(w)] += n
+        types[of(w)] += 1
+    scores = {}
+    for i, t in rows:
+        total, before = 0.0, of(brown.END)
+        for w in brown.tokens(t or ""):
+            c = of(w)
+            total += math.log10((pairs[before, c] + beta) / (out[before] + beta * n_classes))
+            total += math.log10((counts[w] + alpha) / (size[c] + alpha * (types[c] + 1)))
+            before = c
+        scores[i] = total
+    return scores
+
+
 def test_scores(cases, empty):
     for df, rows in cases:
         train = df.where(queries.remainder(7) != 2)
         kept = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
         want, n = brute_base(rows, kept)
-        results = []
-        for known in (50_000, 20):  # all words broadcast, or nearly all joined
-            model = brown.fit(train, known=known, head_units=20, tail_units=16, classes=8)
-            assert model.tokens == n
+        for options in ({"known": 50_000}, {"known": 20}, {"known": 400, "min_count": 3}):  # known words, or nearly all joined
+            model = brown.fit(train, head=20, tails=16, classes=8, **options)
+            assert model.tokens == n and len(model.known) <= options["known"]
             got = brown.score(df, model).collect()
             assert len(got) == len(rows)
+            score = brute_scores(rows, kept, model)
             for r in got:
                 assert (r.n_tokens, r.n_known) == want[r.doc_id][:2]
                 assert r.base_score == pytest.approx(want[r.doc_id][2], rel=1e-9)
-            results.append({r.doc_id: r.score for r in got})
+                assert r.score == pytest.approx(score[r.doc_id], rel=1e-9)
             assert (np.power(10.0, model.transition).sum(1) == pytest.approx(1))
-        assert results[0] == pytest.approx(results[1], rel=1e-9)
+    assert model.clustered > 20 and model.gains[1] > model.gains[0]  # insertion raises the likelihood
     assert brown.score(empty, model).count() == 0
     none = brown.fit(empty)
     assert all(math.isfinite(r.score) and r.n_known == 0 for r in brown.score(cases[0][0], none).collect())
 
 
+def test_words_of_one_kind_share_a_class(spark):
+    """Colours follow articles and come before things, in texts of rare and frequent words."""
+    rng = np.random.default_rng(8)
+    kinds = [[f"{k}{i}" for i in range(40)] for k in ("art", "col", "thing")]
+    p = 1 / np.arange(1, 41)
+    texts = [" ".join(rng.choice(own, p=p / p.sum()) for _ in range(30) for own in kinds) for _ in range(300)]
+    model = brown.fit(spark.createDataFrame([(t,) for t in texts], "text string"), head=10, tails=4, classes=4, min_count=5)
+    places = brown.Places(model.known, model.tails)
+    classes = [{int(model.class_of[places[w.encode()]]) for w in own} for own in kinds]
+    assert model.clustered > 100 and all(len(c) == 1 for c in classes) and len(set.union(*classes)) == 3
+
+
 def test_model_beats_words_alone(spark):
     got = queries.op9_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert got["sum(score)"] > got["sum(base_score)"]
@@ -208,7 +248,7 @@ def test_pipeline(spark):
         groups[t].append(i)
     kept = {max(g) for g in groups.values()}
     rows = [(i, t) for i, t in rows if i in kept]
-    left = {c for _, _, c in brute_classes(rows)}
+    left = set(brute(rows).values())
     got = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in got} == left
     by_doc = defaultdict(int)
