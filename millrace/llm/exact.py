@@ -1,13 +1,17 @@
 """Exact dedup by two-pass Bloom filtering, in DataFrame operations only.
 
-Pass 1 sets two bits per row in a bit table and keeps the bits that were set
-more than once.  Pass 2 tests every row against those bits: a row with a bit
-that nothing else set has a text of its own and passes straight through; only
-the rest (id and digest, never the text) is shuffled and grouped exactly.
-
-The bit table has at most ``max_bits`` bits, hence at most ``max_bits / 64``
-words, which bounds what is broadcast.  When more rows than it can tell apart
-come in, more rows are grouped; the result stays exact.
+Pass 1 hashes each text to one bit of a table with ``bits_per_row`` bits a row and
+finds the bits that are set more than once.  Each task packs the bits it sets into
+one row for each stretch of the table, so what is shuffled is a few bytes a text
+in some hundred rows a task; the rows of a stretch are then sorted and compared.
+Pass 2 tests every row against the bits found: a row whose bit nothing else set
+has a text of its own and passes straight through; only the rest (id and digest,
+never the text) is shuffled and grouped exactly.
+
+The table grows with the rows, so the chance that a text of its own is grouped
+stays at 1 / bits_per_row.  Up to ``broadcast_bits`` repeated bits (counted first)
+are broadcast; with more of them, pass 2 joins by the bit instead, the result
+being the same.
 
 Defined results: a null text counts as empty; equal means identical; of equal
 texts the row with the largest id stays (null ids come last), and of repeated
@@ -22,51 +26,51 @@ from pyspark.sql import functions as F
 
 from .common import id_text, stage
 
-BITS_PER_ROW, MAX_BITS = 16, 1 << 27
+BITS_PER_ROW, BROADCAST_BITS = 64, 2_000_000
+
+#: Stretches of the table at least, and bits set that a stretch should have at most.
+STRETCHES, STRETCH_BITS = 128, 1 << 20
 
 
-def _slots(bits: int):
-    """Two bit positions of a row, from one 64-bit hash of its text."""
-    h = F.xxhash64("text")
-    return h.bitwiseAND(F.lit(bits - 1)), F.xxhash64(h).bitwiseAND(F.lit(bits - 1))
+def power_above(n: int) -> int:
+    return 1 << max(n - 1, 0).bit_length()
 
 
-def _bit(slot):
-    return F.expr(f"cast({slot} & 63 as int)")
+def _slot(bits: int):
+    """The bit of a row, from a 64-bit hash of its text."""
+    return F.xxhash64("text").bitwiseAND(F.lit(bits - 1))
 
 
-def repeated_bits(rows: DataFrame, bits: int) -> DataFrame:
-    """(word, mask): the bits that two or more settings hit; at most bits/64 rows."""
-    one, two = _slots(bits)
-    return (
-        rows.select(F.explode(F.array(one, two)).alias("slot"))
-        .groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask"))
-    )
+def repeated_bits(rows: DataFrame, bits: int, stretches: int) -> DataFrame:
+    """(bit): the bits that two or more rows set."""
+    width = bits // stretches
+    again = lambda xs: F.filter(xs, lambda x, i: (i > 0) & (x == F.get(xs, i - 1)))
+    once = lambda xs: F.filter(xs, lambda x, i: (i == 0) | (x != F.get(xs, i - 1)))
+    slot = rows.select(_slot(bits).alias("slot"), F.spark_partition_id().alias("task"))
+    placed = slot.select(F.shiftright("slot", width.bit_length() - 1).cast("int").alias("stretch"), "task", F.col("slot").bitwiseAND(F.lit(width - 1)).alias("at"))
+    # A text with a third of all rows is one bit of each task from here on.
+    packed = placed.groupBy("stretch", "task").agg(F.sort_array(F.collect_list("at")).alias("xs"))
+    # A new name for each new array: a lambda would take an alias of its own select for the column.
+    packed = packed.select("stretch", once(F.col("xs")).alias("one"), F.array_distinct(again(F.col("xs"))).alias("twice"))
+    whole = packed.groupBy("stretch").agg(F.sort_array(F.flatten(F.collect_list("one"))).alias("all"), F.flatten(F.collect_list("twice")).alias("twice"))
+    return whole.select("stretch", F.explode(F.array_union(again(F.col("all")), F.col("twice"))).alias("at")).select((F.col("stretch").cast("long") * width + F.col("at")).alias("bit"))
 
 
-def flagged(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, max_bits: int, carry: bool = False) -> DataFrame:
+def flagged(docs: DataFrame, id_col: str, text_col: str, bits_per_row: int, broadcast_bits: int, carry: bool = False) -> DataFrame:
     """(doc_id, text, tag, maybe[, row]): maybe is false where the text is surely unique;
     ``tag`` tells rows apart and may be used once only, since a rerun can deal it anew.
 
     ``row`` holds the input row whole, so that no column name can clash."""
     n = docs.count()
-    bits = 1 << 16
-    while bits < min(bits_per_row * n, max_bits):
-        bits *= 2
-    words = stage(repeated_bits(id_text(docs, id_col, text_col), bits), "bits")
-    one, two = _slots(bits)
+    stretches = power_above(max(STRETCHES, -(-n // STRETCH_BITS)))
+    bits = max(stretches, power_above(bits_per_row * n))
+    found = stage(repeated_bits(id_text(docs, id_col, text_col), bits, stretches), "bits")
     cols = [F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")]
     if carry:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = docs.select(*cols).withColumns({"tag": F.monotonically_increasing_id(), "s1": one, "s2": two})
-    for s in ("s1", "s2"):
-        side = F.broadcast(words.select(F.col("word").alias(f"w_{s}"), F.col("mask").alias(f"m_{s}")))
-        rows = rows.join(side, F.shiftright(s, 6) == F.col(f"w_{s}"), "left")
-    hit = [F.expr(f"coalesce(shiftright(m_{s}, cast({s} & 63 as int)) & 1L, 0L) = 1L") for s in ("s1", "s2")]
-    return rows.withColumn("maybe", hit[0] & hit[1]).drop("s1", "s2", "w_s1", "w_s2", "m_s1", "m_s2")
+    rows = docs.select(*cols).withColumns({"tag": F.monotonically_increasing_id(), "slot": _slot(bits)})
+    side = F.broadcast(found) if found.count() <= broadcast_bits else found.hint("shuffle_hash")
+    return rows.join(side, F.col("slot") == F.col("bit"), "left").withColumn("maybe", F.col("bit").isNotNull()).drop("slot", "bit")
 
 
 def _groups(candidates: DataFrame) -> DataFrame:
@@ -78,9 +82,9 @@ def _groups(candidates: DataFrame) -> DataFrame:
     )
 
 
-def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> DataFrame:
+def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = BITS_PER_ROW, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per input row."""
-    rows = flagged(docs, id_col, text_col, bits_per_row, max_bits).select("doc_id", "tag", "maybe", F.sha2("text", 256).alias("sha"))
+    rows = flagged(docs, id_col, text_col, bits_per_row, broadcast_bits).select("doc_id", "tag", "maybe", F.sha2("text", 256).alias("sha"))
     alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     cand = stage(rows.where("maybe").select("doc_id", "tag", "sha"), "candidates")
     groups = stage(_groups(cand), "groups")
@@ -88,11 +92,11 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return alone.unionByName(both)
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> DataFrame:
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bits_per_row: int = BITS_PER_ROW, broadcast_bits: int = BROADCAST_BITS) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were.  Rows that the
     filter proves unique are never shuffled; of the others each task hands on
     one row per text at most, the one with its largest id."""
-    rows = flagged(docs, id_col, text_col, bits_per_row, max_bits, carry=True)
+    rows = flagged(docs, id_col, text_col, bits_per_row, broadcast_bits, carry=True)
     alone = rows.where(~F.col("maybe")).select("row.*")
     order = F.struct(F.col("doc_id").isNotNull(), F.col("doc_id"))
     best = rows.where("maybe").groupBy(F.sha2("text", 256).alias("sha")).agg(F.max_by("row", order).alias("row"))
