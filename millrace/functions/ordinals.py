@@ -1,31 +1,111 @@
-"""Positions over whole tables without pulling them into one task.
+"""Positions and running values over whole tables without one task for all rows.
 
-Rows are bucketed by stretches of the ordinal, ranked within their bucket, and
-shifted by the number of rows in earlier buckets.  What a single task sees is a
-bucket of rows or one count a bucket, so a hot group is spread as well.
+Rows are dealt to stretches of the ordinal whose bounds are quantiles of a sample,
+so a stretch holds about as many rows as any other however the ordinals lie.  A
+value is found within its stretch and shifted by what earlier stretches hold.  What
+a single task sees is a stretch of rows, or one row for each of at most ``MOST``
+stretches, so a key with a third of all rows is spread as well.
+
+A table that Spark's own estimate takes to be small is one stretch; results don't
+depend on the stretches.  Ordinals should be unique within a key: rows with equal
+ones stand in one stretch, in the order of a hash of the row.  Names of helper
+columns are chosen so that they don't clash with those of the table.
 """
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ordinals a bucket spans; unique ordinals put that many rows in it at most.
-WIDTH = 1 << 20
-
-
-def with_position(df: DataFrame, ordinal: str, by: list[str] | None = None, name: str = "rn", width: int = WIDTH) -> DataFrame:
-    """``name``: the row's place, from 1, by ``ordinal`` (a long) within ``by``."""
-    by = by or []
-    bucket = F.floor(F.col(ordinal) / F.lit(width)).alias("_b")
-    keyed = df.withColumn("_b", bucket)
-    counts = df.select(*by, bucket).groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*by).orderBy("_b") if by else Window.orderBy("_b")
-    bases = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    local = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy(ordinal)))
-    same = F.col("_b").eqNullSafe(F.col("_bb"))
-    for i, c in enumerate(by):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    made = local.join(bases, same).withColumn(name, (F.col("_r") + F.col("_base")).cast("long"))
-    return made.drop("_b", "_bb", "_r", "_base", *[f"_k{i}" for i in range(len(by))])
+#: Bytes, by Spark's estimate, that one stretch is for, and the most stretches.
+STRETCH_BYTES, MOST = 128 << 20, 4096
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        made = f"_{name}"
+        while made in have:
+            made = f"_{made}"
+        have.add(made)
+        out.append(made)
+    return out
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """What Spark takes the inputs of ``df`` to hold; rows are counted where it
+    doesn't know."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return total if total < 1 << 62 else 100 * df.count()
+
+
+def bounds(df: DataFrame, ordinal: str, stretches: int | None = None) -> list[float]:
+    """Ordinals that cut ``df`` into stretches, by quantiles of all its rows."""
+    n = stretches or min(MOST, -(-estimated_bytes(df) // STRETCH_BYTES))
+    if n < 2:
+        return []
+    return sorted(set(df.approxQuantile(ordinal, [i / n for i in range(1, n)], 1 / (4 * n))))
+
+
+def stretch_of(ordinal: Column, cuts: list[float]) -> Column:
+    """How many cuts lie below the ordinal, found in two steps of some 64 each."""
+    if not cuts:
+        return F.lit(0)
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < ordinal))
+    parts = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    ends = F.array(*[F.lit(p[-1]) for p in parts])  # a part is passed if its last cut lies below
+    fine = F.array(*[F.array(*map(F.lit, p)) for p in parts])
+    passed = below(ends)
+    return F.when(passed == len(parts), F.lit(len(cuts))).otherwise(passed * 64 + below(F.get(fine, passed)))
+
+
+def _order(df: DataFrame, ordinal: str) -> list[Column]:
+    return [F.col(f"`{ordinal}`"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if not df.schema[c].dataType.typeName().startswith("map")])]
+
+
+def shifted(df: DataFrame, ordinal: str, by: list[str], name: str, inside: Callable, total: Column, fold: Callable, combine: Callable, stretches: int | None = None) -> DataFrame:
+    """Adds ``name``, a running value of ``by`` in the order of ``ordinal``.
+
+    ``inside(window)`` is the value within a stretch, ``total`` the aggregate of a
+    stretch, ``fold`` the window function that adds up totals of earlier ones, and
+    ``combine(earlier, inside)`` the value."""
+    cuts = bounds(df, ordinal, stretches)
+    if not cuts:
+        whole = Window.partitionBy(*by).orderBy(*_order(df, ordinal)) if by else Window.orderBy(*_order(df, ordinal))
+        return df.withColumn(name, combine(F.lit(None), inside(whole)))
+    at, own, base, other = fresh(df, "stretch", "own", "base", "other")
+    keys = fresh(df, *[f"key{i}" for i in range(len(by))])
+    cut = df.withColumn(at, stretch_of(F.col(f"`{ordinal}`"), cuts))
+    local = cut.withColumn(own, inside(Window.partitionBy(*by, at).orderBy(*_order(df, ordinal))))
+    totals = cut.groupBy(*by, at).agg(total.alias(own))
+    order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)], F.col(at).alias(other), fold(F.col(own)).over(order).alias(base))
+    same = F.col(at) == F.col(other)
+    for c, k in zip(by, keys):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(k))
+    made = local.join(bases, same)
+    return made.withColumn(name, combine(F.col(base), F.col(own))).drop(at, own, base, other, *keys)
+
+
+def with_position(df: DataFrame, ordinal: str, by: list[str] | None = None, name: str = "rn", stretches: int | None = None) -> DataFrame:
+    """``name``: the row's place, from 1, by ``ordinal`` (a number) within ``by``."""
+    return shifted(df, ordinal, by or [], name, lambda w: F.row_number().over(w).cast("long"), F.count(F.lit(1)), F.sum, lambda base, own: own + F.coalesce(base.cast("long"), F.lit(0)).cast("long"), stretches)
+
+
+def running_sum(df: DataFrame, ordinal: str, by: list[str], value: Column, name: str, stretches: int | None = None) -> DataFrame:
+    """``name``: the sum of ``value`` up to and with the row; nulls count as nothing."""
+    up_to = lambda w: F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return shifted(df, ordinal, by, name, up_to, F.sum(value), F.sum, lambda base, own: F.when(base.isNull(), own).when(own.isNull(), base).otherwise(base + own), stretches)
+
+
+def most_before(df: DataFrame, ordinal: str, by: list[str], value: Column, name: str, stretches: int | None = None) -> DataFrame:
+    """``name``: the largest ``value`` of the rows before, null where there is none."""
+    earlier = lambda w: F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return shifted(df, ordinal, by, name, earlier, F.max(value), F.max, lambda base, own: F.greatest(base, own), stretches)
 
 
 def frame_of(position: Column, size: int) -> Column:

@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import key_shard
-from ..functions.ordinals import with_position
+from ..functions.ordinals import fresh, running_sum, with_position
 from .folds import arrow_schema
 from .routing import partitioned
 
 
+#: Output rows of a stateful step that are held.
+OUTPUT = 10_000
+
+
 def risk_filter(df: DataFrame, key: str, ordinal: str, amount: Column, limit: int) -> DataFrame:
     """Adds exposure, the key's running sum, and accepted (within the limit)."""
-    w = Window.partitionBy(key).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("exposure", F.sum(amount).over(w)).withColumn("accepted", F.col("exposure") <= limit)
+    return running_sum(df, ordinal, [key], amount, "exposure").withColumn("accepted", F.col("exposure") <= limit)
 
 
 def keyed_state(df: DataFrame, key: str, ordinal: str, shards: int, start: Callable[[], dict], step: Callable[[dict, dict], Iterator[dict]], schema: str) -> DataFrame:
     """Mutable state by key: ``step(state, row)`` yields any number of output
     rows.  Rows are dealt by key and stream in order through their task, which
-    holds one key's state at a time."""
+    holds one key's state and at most ``OUTPUT`` output rows at a time."""
     ordered = partitioned(df.withColumn("shard", key_shard(F.col(key), shards, "native")).where(F.col("shard").isNotNull()), shards).sortWithinPartitions(key, ordinal)
     kinds = arrow_schema(schema)
 
@@ -34,50 +38,67 @@ def keyed_state(df: DataFrame, key: str, ordinal: str, shards: int, start: Calla
             for row in b.to_pylist():
                 if state is None or row[key] != now:
                     now, state = row[key], start()
-                out += step(state, row)
+                for made in step(state, row):
+                    out.append(made)
+                    if len(out) >= OUTPUT:
+                        yield pa.RecordBatch.from_pylist(out, kinds)
+                        out = []
             if out:
                 yield pa.RecordBatch.from_pylist(out, kinds)
 
     return ordered.mapInArrow(run, schema)
 
 
+class Book:
+    """The resting orders of a symbol: a heap a side, best price first, then oldest."""
+
+    def __init__(self):
+        self.sides: dict[str, list] = {"B": [], "S": []}
+
+    def match(self, ordinal: int, side: str, price: float, qty: int) -> Iterator[tuple]:
+        """Yield (taker, maker, price, qty) for each fill; what is left rests."""
+        other, sign = self.sides["S" if side == "B" else "B"], 1 if side == "B" else -1
+        while qty and other and other[0][0] <= sign * price:
+            rank, maker, resting = other[0]
+            n = min(qty, resting)
+            qty -= n
+            yield ordinal, maker, sign * rank, n
+            if n == resting:
+                heapq.heappop(other)
+            else:
+                heapq.heapreplace(other, (rank, maker, resting - n))
+        if qty:
+            heapq.heappush(self.sides[side], (-sign * price, ordinal, qty))
+
+
 def matching_engine(orders: DataFrame, *, key: str = "symbol", ordinal: str = "ordinal", shards: int = 8) -> DataFrame:
     """Orders (symbol, ordinal, side 'B' or 'S', price, qty) matched by price and
     time: (symbol, taker, maker, price, qty), one row a fill."""
 
-    def start() -> dict:
-        return {"B": [], "S": []}
-
-    def step(book: dict, o: dict):
-        side, other = o["side"], "S" if o["side"] == "B" else "B"
-        sign = 1 if side == "B" else -1
-        left = o["qty"]
-        while left and book[other] and sign * book[other][0][1] <= sign * o["price"]:
-            best = book[other][0]
-            n = min(left, best[2])
-            left -= n
-            best[2] -= n
-            yield {key: o[key], "taker": o[ordinal], "maker": best[3], "price": best[1], "qty": n}
-            if not best[2]:
-                book[other].pop(0)
-        if left:
-            book[side].append([-sign * o["price"], o["price"], left, o[ordinal]])
-            book[side].sort(key=lambda x: (x[0], x[3]))
+    def step(book: Book, o: dict):
+        for fill in book.match(o[ordinal], o["side"], o["price"], o["qty"]):
+            yield dict(zip((key, "taker", "maker", "price", "qty"), (o[key], *fill)))
 
-    return keyed_state(orders, key, ordinal, shards, start, step, f"{key} string, taker long, maker long, price double, qty long")
+    return keyed_state(orders, key, ordinal, shards, Book, step, f"{key} string, taker long, maker long, price double, qty long")
 
 
 def event_router(df: DataFrame, kind: str, ordinal: str, kinds: int, notifiers: int) -> DataFrame:
-    """Adds shard, by the event's type, and notifier, dealt in rotation within it."""
-    typed = df.withColumn("shard", key_shard(F.col(kind), kinds))
-    made = with_position(typed, ordinal, ["shard"], "_at")
-    return made.withColumn("notifier", ((F.col("_at") - 1) % notifiers).cast("int")).drop("_at")
+    """Adds shard, by the event's type (up to 16 bytes), and notifier, dealt in
+    rotation within it."""
+    typed = df.withColumn("shard", key_shard(F.col(kind), kinds, "short"))
+    (at,) = fresh(typed, "at")
+    made = with_position(typed, ordinal, ["shard"], at)
+    return made.withColumn("notifier", ((F.col(at) - 1) % notifiers).cast("int")).drop(at)
+
+
+#: The first trade's time and the ids between two producers.
+TRADE_TIME, PRODUCER_STRIDE = 1672515782136, 1_000_000
 
 
 def trades(ids: DataFrame, symbols: list[str], producers: int, per_producer: int) -> DataFrame:
     """Benchmark trades of (id): each producer deals the symbols in rotation."""
     names = F.array(*[F.lit(s) for s in symbols])
     p, i = F.floor(F.col("id") / per_producer), F.col("id") % per_producer
-    at = ((p * 1_000_000 + i) % len(symbols) + 1).cast("int")
-    time = (F.lit(1672515782136) + i).cast("long")
+    at = ((p * PRODUCER_STRIDE + i) % len(symbols) + 1).cast("int")
+    time = (F.lit(TRADE_TIME) + i).cast("long")
     return ids.select(p.cast("int").alias("producer"), F.lit("trade").alias("e"), time.alias("event_time"), F.element_at(names, at).alias("s"), i.cast("long").alias("t"), F.lit("0.001").alias("p"), F.lit("100").alias("q"), time.alias("trade_time"), (i % 2 == 0).alias("m"), F.lit(True).alias("_m"))

@@ -1,8 +1,10 @@
 """Audits: no row lost, doubled or out of order."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordinals import fresh, most_before
+
 
 def conservation(sent: DataFrame, done: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, sent, done, sent_sum, done_sum, lost): both sides by group."""
@@ -15,8 +17,8 @@ def conservation(sent: DataFrame, done: DataFrame, by: list[str], value: str) ->
 def fifo_violations(df: DataFrame, key: str, place: str, ordinal: str) -> DataFrame:
     """The rows that come, by ``place``, after a row of their key with a larger
     ordinal."""
-    w = Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_most", F.max(ordinal).over(w)).where(F.col("_most") > F.col(ordinal)).drop("_most")
+    (most,) = fresh(df, "most")
+    return most_before(df, place, [key], F.col(ordinal), most).where(F.col(most) > F.col(ordinal)).drop(most)
 
 
 def checksum(df: DataFrame, by: list[str], value: str) -> DataFrame:

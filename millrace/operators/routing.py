@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import key_shard, pow2
-from ..functions.ordinals import frame_of, with_position
+from ..functions.ordinals import frame_of, fresh, with_position
 
 #: Route tables up to this many keys are broadcast; larger ones are joined.
 BROADCAST_ROUTES = 100_000
@@ -21,21 +21,24 @@ def by_key(df: DataFrame, key: str, shards: int, mode: str = "parity") -> DataFr
 
 def round_robin(df: DataFrame, ordinal: str, shards: int, start: int = 0) -> DataFrame:
     """The cursor starts at ``start`` and advances by one a row, in ordinal order."""
-    made = with_position(df, ordinal, name="_at")
-    return made.withColumn("shard", (F.col("_at") - 1 + start).bitwiseAND(F.lit(pow2(shards) - 1).cast("long")).cast("int")).drop("_at")
+    (at,) = fresh(df, "at")
+    made = with_position(df, ordinal, name=at)
+    return made.withColumn("shard", (F.col(at) - 1 + start).bitwiseAND(F.lit(pow2(shards) - 1).cast("long")).cast("int")).drop(at)
 
 
 def round_robin_producers(df: DataFrame, ordinal: str, producer: str, shards: int) -> DataFrame:
     """Each producer has a cursor of its own, which starts at its number: a
     clone takes the value of its parent's cursor as its start."""
-    made = with_position(df, ordinal, [producer], "_at")
-    return made.withColumn("shard", (F.col("_at") - 1 + F.col(producer)).bitwiseAND(F.lit(pow2(shards) - 1).cast("long")).cast("int")).drop("_at")
+    (at,) = fresh(df, "at")
+    made = with_position(df, ordinal, [producer], at)
+    return made.withColumn("shard", (F.col(at) - 1 + F.col(producer)).bitwiseAND(F.lit(pow2(shards) - 1).cast("long")).cast("int")).drop(at)
 
 
 def round_robin_batches(df: DataFrame, ordinal: str, shards: int, batch: int) -> DataFrame:
     """A whole batch goes to one shard: one tick of the cursor a batch."""
-    made = with_position(df, ordinal, name="_at").withColumn("batch", frame_of(F.col("_at"), batch))
-    return made.withColumn("shard", F.col("batch").bitwiseAND(F.lit(pow2(shards) - 1).cast("long")).cast("int")).drop("_at")
+    (at,) = fresh(df, "at")
+    made = with_position(df, ordinal, name=at).withColumn("batch", frame_of(F.col(at), batch))
+    return made.withColumn("shard", F.col("batch").bitwiseAND(F.lit(pow2(shards) - 1).cast("long")).cast("int")).drop(at)
 
 
 def spread_batches(df: DataFrame, shards: int) -> DataFrame:
@@ -67,20 +70,23 @@ class Routes:
     def __len__(self) -> int:
         return len(self.shard_of)
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        rows = spark.createDataFrame(sorted(self.shard_of.items()), "route_key string, route_shard int")
+    def table(self, spark: SparkSession, key: str = "route_key", shard: str = "route_shard") -> DataFrame:
+        rows = spark.createDataFrame(sorted(self.shard_of.items()), f"`{key}` string, `{shard}` int")
         return F.broadcast(rows) if len(self) <= BROADCAST_ROUTES else rows
 
 
 def by_group(df: DataFrame, key: str, routes: Routes) -> DataFrame:
     """Adds ``shard``, null for keys that aren't registered."""
-    joined = df.join(routes.table(df.sparkSession), F.col(key) == F.col("route_key"), "left")
-    return joined.withColumn("shard", F.col("route_shard")).drop("route_key", "route_shard")
+    name, shard = fresh(df, "route_key", "route_shard")
+    table = routes.table(df.sparkSession, name, shard)
+    return df.join(table, df[key] == table[name], "left").withColumn("shard", F.col(shard)).drop(name, shard)
 
 
 def unused(df: DataFrame, key: str, routes: Routes) -> DataFrame:
     """The rows whose key isn't registered, null keys included."""
-    return df.join(routes.table(df.sparkSession), F.col(key) == F.col("route_key"), "left_anti")
+    (name,) = fresh(df, "route_key")
+    table = routes.table(df.sparkSession, name, "route_shard")
+    return df.join(table, df[key] == table[name], "left_anti")
 
 
 def static(df: DataFrame, shard: Column, shards: int) -> DataFrame:

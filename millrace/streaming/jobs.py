@@ -6,6 +6,7 @@ is run again after a failure leaves its rows once.
 
 from __future__ import annotations
 
+import pickle
 import time
 from collections.abc import Callable
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import handlers
+from ..operators.apps import Book
 from ..sources.shared import new_path
 
 Sink = Callable[[DataFrame, int], None]
@@ -36,6 +38,16 @@ def in_files(df: DataFrame, ordinal: str, files: int) -> str:
     return path
 
 
+def in_turns(parts: list[DataFrame]) -> str:
+    """Write each part as one file, one after the other, so that a stream that
+    takes a file at a time gets them in this order; returns the path."""
+    path = new_path(parts[0].sparkSession, "stream-in")
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)  # files are taken by age
+    return path
+
+
 def batch_sink(path: str, make: Callable[[DataFrame], DataFrame] = lambda df: df) -> Sink:
     """Idempotent: the folder of a batch is replaced when the batch runs again."""
 
@@ -111,24 +123,63 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         n, last, late = self.state.get() if self.state.exists() else (0, -(2**62), 0)
-        for pdf in rows:
-            own = pdf["ordinal"].sort_values()  # a shuffle keeps no order within a batch
-            n, late, last = n + len(own), late + int((own < last).sum()), max(last, int(own.max()))
-        self.state.update((n, last, late))
-        yield pd.DataFrame({"key": [key[0]], "n": [n], "last": [last], "late": [late]})
+        most = last
+        for pdf in rows:  # a shuffle keeps no order within a batch
+            own = pdf["ordinal"]
+            n, late, most = n + len(own), late + int((own < last).sum()), max(most, int(own.max()))
+        self.state.update((n, most, late))
+        yield pd.DataFrame({"key": [key[0]], "n": [n], "last": [most], "late": [late]})
 
     def close(self) -> None:
         pass
 
 
+class Matching(StatefulProcessor):
+    """The order book of a symbol; a batch's orders are matched by their ordinal."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("book", "book binary")
+
+    def handleInputRows(self, key, rows, timerValues):
+        book = pickle.loads(self.state.get()[0]) if self.state.exists() else Book()
+        orders = pd.concat(list(rows)).sort_values("ordinal")
+        fills = [f for o in orders.itertuples(index=False) for f in book.match(int(o.ordinal), o.side, float(o.price), int(o.qty))]
+        self.state.update((pickle.dumps(book),))
+        yield pd.DataFrame([(key[0], *f) for f in fills], columns=["symbol", "taker", "maker", "price", "qty"])
+
+    def close(self) -> None:
+        pass
+
+
+#: State by key needs this store; ``session`` sets it.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, label: str) -> DataFrame:
+    """All output rows of a stateful processor.  The state store is set while the
+    query starts only; the caller's settings stay as they are."""
+    spark = rows.sparkSession
+    before = spark.conf.get(STATE_STORE[0], None)
+    made = rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Update", timeMode="None")
+    out, check = new_path(spark, label), new_path(spark, "stream-check")
+    writer = made.writeStream.outputMode("update").foreachBatch(batch_sink(out)).option("checkpointLocation", check).trigger(availableNow=True)
+    spark.conf.set(*STATE_STORE)  # a query copies its settings when it starts
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(STATE_STORE[0], before) if before else spark.conf.unset(STATE_STORE[0])
+    query.awaitTermination()
+    return results(spark, out, schema)
+
+
 def fifo_state(stream: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """(key, n, last, late) after all batches, from state kept by key."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """(key, n, last, late) after all batches, from state kept by key: late are
+    rows that came in a later batch than one of their key with a larger ordinal."""
     rows = stream.select(F.col(key).cast("string").alias("key"), F.col(ordinal).cast("long").alias("ordinal"))
-    schema = "key string, n long, last long, late long"
-    made = rows.groupBy("key").transformWithStateInPandas(statefulProcessor=InOrder(), outputStructType=schema, outputMode="Update", timeMode="None")
-    out, check = new_path(spark, "stream-fifo"), new_path(spark, "stream-check")
-    query = made.writeStream.outputMode("update").foreachBatch(batch_sink(out)).option("checkpointLocation", check).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return results(spark, out, schema).groupBy("key").agg(F.max_by("last", "n").alias("last"), F.max_by("late", "n").alias("late"), F.max("n").alias("n")).select("key", "n", "last", "late")
+    made = _with_state(rows, "key", InOrder(), "key string, n long, last long, late long", "stream-fifo")
+    return made.groupBy("key").agg(F.max_by("last", "n").alias("last"), F.max_by("late", "n").alias("late"), F.max("n").alias("n")).select("key", "n", "last", "late")
+
+
+def matching(orders: DataFrame) -> DataFrame:
+    """The fills of a stream of orders (symbol, ordinal, side, price, qty)."""
+    return _with_state(orders, "symbol", Matching(), "symbol string, taker long, maker long, price double, qty long", "stream-fills")

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import key_shard, pow2, wrapping_affine
-from millrace.functions.ordinals import with_position
-from millrace.operators import admission, apps, audit, elastic, folds, handlers, receive, routing
+from millrace.functions.ordinals import most_before, running_sum, with_position
+from millrace.operators import admission, apps, audit, channels, elastic, folds, handlers, receive, routing
 
 
 def fnv(key: str) -> int:
@@ -51,11 +51,85 @@ def test_position_over_many_buckets(spark):
     ids = random.Random(1).sample(range(10**6), 500)
     df = spark.createDataFrame([(i, i % 3) for i in ids], "o long, k long").repartition(5)
     want = {i: n + 1 for n, i in enumerate(sorted(ids))}
-    assert {r.o: r.rn for r in with_position(df, "o", width=1000).collect()} == want
+    assert {r.o: r.rn for r in with_position(df, "o", stretches=7).collect()} == want
     own = defaultdict(list)
     for i in sorted(ids):
         own[i % 3].append(i)
-    assert {r.o: r.rn for r in with_position(df, "o", ["k"], width=1000).collect()} == {i: n + 1 for x in own.values() for n, i in enumerate(x)}
+    assert {r.o: r.rn for r in with_position(df, "o", ["k"], stretches=7).collect()} == {i: n + 1 for x in own.values() for n, i in enumerate(x)}
+
+
+def test_running_values_do_not_depend_on_stretches(spark):
+    """A key with a third of all rows, nulls, and columns that helpers might be called."""
+    rng = random.Random(6)
+    rows = [(i, "hot" if i % 3 == 0 else f"k{i % 11}", None if i % 17 == 0 else rng.randint(-5, 9), i) for i in rng.sample(range(100_000), 900)]
+    df = spark.createDataFrame(rows, "o long, k string, v long, _stretch long").repartition(6)
+    sums, most, want = defaultdict(lambda: None), {}, {}
+    for o, k, v, _ in sorted(rows):
+        before = most.get(k)
+        if v is not None:
+            sums[k] = v + (sums[k] or 0)
+        want[o] = (sums[k], before)
+        most[k] = o if before is None else max(before, o)
+    for n in (1, 2, 9, 300):
+        made = most_before(running_sum(df, "o", ["k"], F.col("v"), "s", n), "o", ["k"], F.col("o"), "m", n)
+        assert {r.o: (r.s, r.m) for r in made.collect()} == want
+        assert made.columns == [*df.columns, "s", "m"]
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["_at", "_key0", "_base", "_own", "_other", "_sizes", "_route_key", "_most"]
+    df = spark.createDataFrame([(i, i % 2, *[7] * len(names)) for i in range(40)], f"v long, shard int, {', '.join(f'`{n}` int' for n in names)}")
+    for made in (receive.merge_any(df, "v"), routing.round_robin(df, "v", 4), routing.unused(df.withColumn("k", F.lit("a")), "k", routing.Routes()), admission.try_send_batch(df, "v", 3), with_position(df, "v", ["shard"], stretches=4)):
+        assert set(names) <= set(made.columns) and {tuple(r) for r in made.select(*names).distinct().collect()} == {(7,) * len(names)}
+
+
+def test_channels(spark):
+    assert channels.shared(spark, 700).capacity == 1024 and channels.shared(spark, 1).shards == pow2(spark.sparkContext.defaultParallelism)
+    assert (channels.single(spark, 5, 3).shards, channels.single(spark, 5, 3).capacity) == (3, 8)
+    assert channels.shared(spark, 8, channels.GROUP, routes=routing.Routes.from_groups([["a"], ["b"], ["c"]])).shards == 4
+    for bad in (lambda: channels.single(spark, 1, 0), lambda: channels.shared(spark, 1, "other")):
+        with pytest.raises(ValueError):
+            bad()
+    rows = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(12)], "v long, k string")
+    for channel, key in ((channels.shared(spark, 2, shards=2), None), (channels.shared(spark, 2, channels.KEY, 4), "k"), (channels.single(spark, 2, 3), "v")):
+        sent = channel.try_send_batch(rows, "v", key)
+        assert sent.count() == 12 and {r.status for r in sent.collect()} >= {"accepted", "full"}
+
+
+def waited(rows, timeout, per_shard):
+    """A sender that waits for each row in turn: v -> (status, position)."""
+    out, left, now, halted = {}, [], 0.0, None
+    shards = sorted({s for _, s, _ in rows if s is not None})
+    for s in shards:
+        deadline = (now if per_shard else 0.0) + timeout
+        for v, _, room in sorted(r for r in rows if r[1] == s):
+            if halted is None and max(now, room) <= deadline:
+                now = max(now, room)
+                out[v] = ("accepted", None)
+            else:
+                halted = s if halted is None else halted
+                left.append((v, "timeout" if s == halted else "unsent"))
+    left += [(v, "unsent") for v, s, _ in sorted(r for r in rows if r[1] is None)]
+    return out | {v: (status, i + 1) for i, (v, status) in enumerate(left)}
+
+
+def test_deadlines_follow_the_waiting_sender(spark):
+    rng = random.Random(9)
+    for trial in range(12):
+        rows = [(v, rng.choice([0, 1, 1, 2, None]), float(rng.randint(0, 20 + 5 * trial))) for v in range(40)]
+        df = spark.createDataFrame(rows, "v long, shard int, room double").repartition(3)
+        for per in ("call", "shard"):
+            timeout = rng.choice([0.0, 8.0, 20.0, 45.0, 500.0])
+            got = {r.v: (r.status, r.position) for r in admission.send_batch_timeout(df, "v", F.col("room"), timeout, per=per).collect()}
+            assert got == waited(rows, timeout, per == "shard")
+
+
+def test_empty_polls(spark):
+    df = spark.createDataFrame([(0, 0, 0), (1, 0, 10), (2, 0, 11), (3, 0, 31), (4, 1, 5)], "v long, shard int, at long")
+    got = {r.v: r.timeouts for r in receive.ticks(df, "v", F.col("at"), 10).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 1, 4: 0}
+    assert [r.v for r in receive.iterate(df, "v")] == [0, 1, 2, 3, 4]
+    assert receive.any_outcome(df, 3, closed=[0, 2]).first() == (5, 2, "empty")
 
 
 def test_even_rotation(spark):
@@ -188,7 +262,7 @@ def test_scaling(spark):
     many = [rng.random() for _ in range(700)]
     for f in many:
         want.append(now := config.decide(now, f))
-    got = elastic.trace(spark.createDataFrame(list(enumerate(many)), "step long, fill double"), "step", "fill", config, stretch=64).orderBy("step").collect()
+    got = elastic.trace(spark.createDataFrame(list(enumerate(many)), "step long, fill double"), "step", "fill", config, stretch=16, group=3).orderBy("step").collect()
     assert [r.active for r in got] == want
     assert elastic.trace(df.limit(0), "step", "fill", config).count() == 0
 
