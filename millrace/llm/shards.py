@@ -9,12 +9,15 @@ order.  Shards are equal stretches of that order.  Only (id, size, crc, hash) is
 shuffled, never a text; what reaches the driver is the sample (at most 32 keys
 a range) and one row a range.
 
-Laws: ``bytes`` (shard sizes differ by less than one record) and ``rows``
-(counts differ by one at most).
+Laws: ``bytes`` (a record is in the shard in which its middle lies, so shard sizes
+differ by less than two of the largest records) and ``rows`` (counts differ by one
+at most).  Equal texts stand together, so at most one group of them is cut at each
+place where two shards meet; ``group_cut`` marks the rows of such groups.
 
 Defined results: a null text has no bytes and hashes as the empty text; null
-ids sort first; repeated rows get places of their own; an empty table gives an
-empty result; other columns are ignored by ``plan`` and carried by ``write``.
+ids sort first; ids that aren't whole numbers are ordered by a hash; repeated rows
+get places of their own; an empty table gives an empty result; other columns are
+ignored by ``plan`` and carried by ``write``.
 """
 
 from collections.abc import Iterator
@@ -69,16 +72,17 @@ def _quantiles(h: np.ndarray, i: np.ndarray, by: np.ndarray, parts: int) -> tupl
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shards: int = 40, law: str = "bytes", overhead: int = 16, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot), one row per record."""
+    """(doc_id, size, text_crc32, law, shard, slot, group_cut), one row per record."""
     if law not in ("bytes", "rows"):
         raise ValueError("law is 'bytes' or 'rows'")
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
     slim = stage(
         id_text(docs, id_col, text_col).select(
             "doc_id",
             (F.octet_length("text") + overhead).cast("long").alias("size"),
             F.crc32(F.encode("text", "utf-8")).alias("text_crc32"),
             F.xxhash64("text").alias("h"),
-            F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key_id"),
+            F.coalesce(F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.lit(-(1 << 63))).alias("key_id"),
         ),
         "slim",
     ).withColumn("w", F.col("size") if law == "bytes" else F.lit(1).cast("long"))
@@ -116,12 +120,15 @@ def _places(slim: DataFrame, n: int, total: int, shards: int, law: str) -> DataF
     bases = spark.createDataFrame(base, "range int, row_base long, w_base long")
     mid = "(2 * (w_base + run) - w)"
     placed = placed.join(F.broadcast(bases), "range").withColumn("shard", F.expr(f"cast(least({shards - 1}, {mid} * {shards} div {2 * max(total, 1)}) as int)"))
-    starts, ends = [], {}
-    for r in sorted(placed.groupBy("shard", "range").agg(F.min("rn").alias("first"), F.count(F.lit(1)).alias("n")).collect()):
+    starts, ends, cut, last = [], {}, [], None
+    for r in sorted(placed.groupBy("shard", "range").agg(F.min("rn").alias("first"), F.count(F.lit(1)).alias("n"), F.min("h").alias("low"), F.max("h").alias("high")).collect()):
+        if last is not None and last.shard != r.shard and last.high == r.low:
+            cut.append(r.low)
+        last = r
         starts.append((r.shard, r["range"], ends.get(r.shard, 0) - r["first"]))
         ends[r.shard] = ends.get(r.shard, 0) + r.n
     shift = spark.createDataFrame(starts, "shard int, range int, shift long")
-    return placed.join(F.broadcast(shift), ["shard", "range"]).select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("rn") + F.col("shift")).alias("slot"))
+    return placed.join(F.broadcast(shift), ["shard", "range"]).select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", (F.col("rn") + F.col("shift")).alias("slot"), F.col("h").isin(cut).alias("group_cut"))
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -95,7 +95,14 @@ def test_shards(cases, empty, law):
             assert sorted(r.slot for r in s) == list(range(len(s)))
         sizes = [sum(r.size if law == "bytes" else 1 for r in own[s]) for s in range(7)]
         assert max(sizes) - min(sizes) <= (2 * max(r.size for r in got) if law == "bytes" else 1)
+        # Exactly the groups that lie in two shards are marked.
+        texts, where = {i: t or "" for i, t in rows}, defaultdict(set)
+        for r in got:
+            where[texts[r.doc_id]].add(r.shard)
+        assert [r for r in got if r.group_cut != (len(where[texts[r.doc_id]]) > 1)] == []
     assert shards.plan(empty, law=law).count() == 0
+    named = df.selectExpr("concat('id', doc_id) doc_id", "text").unionByName(df.limit(1).selectExpr("cast(null as string) doc_id", "text"))
+    assert shards.plan(named, law=law).select("shard", "slot").distinct().count() == named.count()
 
 
 def test_overfull_ranges_are_cut(spark):
