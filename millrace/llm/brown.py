@@ -1,27 +1,37 @@
 """Language-model scoring with a Brown class-based bigram model.
 
 P(word | word before) = P(class | class before) * P(word | class).  Counts of
-words are exact over all training texts and stay distributed.  The exchange
-clustering works on units: each of the ``head_units`` most frequent words is
-one, and the other words share ``tail_units`` units by a hash of their last
-letters, so every word has a class, however rare or unseen.  Unit bigrams are
-counted over all training texts; the table sent to the driver has at most
-(head_units + tail_units)^2 cells.  Units then move, one at a time, to the class
-that raises the class bigram likelihood most, until a pass moves none.
-
-Scoring makes one pass over the texts: class transitions and frequent words
-(``KNOWN`` of them are broadcast with their counts) are summed on the spot; rarer
-words are joined with the table of counts.  A shared word's rows are partly
-summed by document, and the words left to join are the rare ones, so no key is
-hot.
+words are exact over all training texts and stay distributed.
+
+Classes maximise the likelihood of the training texts under the class bigram model.
+They are found in three steps, each over all training texts:
+
+* exchange: each of the ``head`` most frequent words is a unit, the other words
+  share ``tails`` units by a hash of their last letters, and units move, one at a
+  time, to the class that raises the likelihood most, until a pass moves none;
+* insertion: every other word that comes ``min_count`` times or more is put into
+  the class that its neighbours' classes make most likely; the gain is taken to
+  first order, a single such word being small against a class;
+* class transitions are counted anew with the classes so found.
+
+Words seen less often, and unseen ones, have the class of their unit, so every word
+has a class.  The vocabulary that is clustered grows with the corpus, up to ``known``
+words, which with their counts are what is broadcast: at most so many, and each
+of at most ``WORD_BYTES`` bytes.  Training texts are turned into numbers of known
+words once, and the steps read these.
+
+Scoring makes one pass over the texts: class transitions and known words are summed
+on the spot; rarer words are joined with the table of counts.  A shared word's rows
+are partly summed by document, and the words left to join are the rare ones, so no
+key is hot.
 
 Smoothing: transitions add ``beta`` to each class, emissions ``alpha`` to each
 word of a class and to one further word, which stands for all unseen ones.
 
 Defined results: null text counts as empty (the end token alone); repeated rows
 count and are scored as often as they come; an empty training set gives every
-word the same unseen chance; an empty table gives an empty result; other columns
-are ignored.
+word the same unseen chance; an empty table gives an empty result; null ids are
+kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +43,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, map_arrow, small, stage
 
 END = b"\n"
-HEAD_UNITS, TAIL_UNITS, CLASSES, KNOWN = 512, 256, 64, 50_000
+HEAD, TAILS, CLASSES, KNOWN, MIN_COUNT, WORD_BYTES = 512, 256, 64, 400_000, 50, 64
+
+#: Contexts that a task counts together, and tasks whose counts are summed together.
+CONTEXTS, FAN = 4_000_000, 64
 
 
 def tokens(text: str) -> list[bytes]:
@@ -64,20 +78,25 @@ def _count(it):
         yield out()
 
 
-class Units(dict):
-    """word -> unit, filled on demand; unit 0 is the end."""
+class Places(dict):
+    """word -> its number: known words first, then ``tails`` units for the others,
+    filled on demand; number 0 is the end."""
 
-    def __init__(self, head: list[bytes], tail_units: int):
-        super().__init__({w: i for i, w in enumerate(head)})
-        self.head, self.tail_units, self.base = head, tail_units, len(head)
+    def __init__(self, known: list[bytes], tails: int):
+        super().__init__(zip(known, range(len(known))))
+        self.known, self.tails, self.base = known, tails, len(known)
 
     def __missing__(self, word: bytes) -> int:
-        unit = self.base + xxhash.xxh32_intdigest(word[-3:]) % self.tail_units
-        if len(self) > 400_000:
+        place = self.base + tail_of(word, self.tails)
+        if len(self) > self.base + 200_000:
             self.clear()
-            self.update({w: i for i, w in enumerate(self.head)})
-        self[word] = unit
-        return unit
+            self.update(zip(self.known, range(self.base)))
+        self[word] = place
+        return place
+
+
+def tail_of(word: bytes, tails: int) -> int:
+    return xxhash.xxh32_intdigest(word[-3:]) % tails
 
 
 def exchange(pairs: np.ndarray, classes: int, passes: int = 20) -> np.ndarray:
@@ -124,74 +143,193 @@ def exchange(pairs: np.ndarray, classes: int, passes: int = 20) -> np.ndarray:
     return own
 
 
+def likelihood(table: np.ndarray) -> float:
+    """Of the class bigrams of a table of counts, up to what no class changes."""
+    f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+    return float(f(table) - f(table.sum(1)) - f(table.sum(0)))
+
+
+def rank_expr(n):
+    """A number that grows with a count and takes a bounded number of values."""
+    return F.when(n < 65536, n).otherwise(F.floor(65536 + 1000 * F.log(n / 65536.0))).cast("long")
+
+
 @dataclass
 class Model:
-    words: DataFrame  # (word, n) of all training words
+    words: DataFrame  # (word, n) of the training words that aren't known
     tokens: int
     types: int
-    head: list[bytes]
-    tail_units: int
-    unit_class: np.ndarray
+    known: list[bytes]  # by falling count, the end first
+    counts: np.ndarray  # of the known words
+    tails: int
+    class_of: np.ndarray  # by place
     transition: np.ndarray  # log10 P(class | class before)
     class_tokens: np.ndarray
     class_types: np.ndarray
-    known: dict
     alpha: float
+    clustered: int  # words with a learned class of their own
+    gains: tuple[float, float]  # likelihoods of the classes before and after insertion
 
     def emission(self, n, cls):
         """log10 P(word | class) of words seen n times."""
         return np.log10((n + self.alpha) / (self.class_tokens[cls] + self.alpha * (self.class_types[cls] + 1)))
 
+    def class_of_word(self, word: bytes) -> int:
+        """For single words; numbers of many come from ``Places``."""
+        return int(self.class_of[Places(self.known, self.tails)[word]])
+
 
-def fit(docs: DataFrame, text_col: str = "text", *, classes: int = CLASSES, head_units: int = HEAD_UNITS, tail_units: int = TAIL_UNITS, known: int = KNOWN, alpha: float = 0.5, beta: float = 0.5) -> Model:
+def _flat(b: pa.RecordBatch) -> np.ndarray:
+    """The places of all texts of a batch, each text after an end."""
+    return np.concatenate([[0], b.column("ids").flatten().to_numpy()]).astype(np.int64)
+
+
+def _pairs(ids: DataFrame, group_of: np.ndarray, size: int) -> np.ndarray:
+    """Counts of (group, next group), float[size, size], over all texts."""
+
+    def run(it):
+        counts = np.zeros(size * size, np.int64)
+        for b in it:
+            g = group_of.take(_flat(b))
+            counts += np.bincount(g[:-1] * size + g[1:], minlength=size * size)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
+
+    got = map_arrow(ids, run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size)
+    out[got.column("pair").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(size, size)
+
+
+def _insert(ids: DataFrame, class_of: np.ndarray, table: np.ndarray, first: int, last: int) -> dict[int, int]:
+    """The best class of each word with a place from ``first`` to ``last`` - 1.
+
+    A word's contexts are the classes after and before it.  Tasks hand on the
+    contexts of blocks of words, packed; these are summed ``FAN`` tasks at a time,
+    so what a task adds up is bounded however many tasks there were."""
+    classes = len(table)
+    block = 65536 // (2 * classes)  # words, so that a word's context takes two bytes
+
+    def packed(code: np.ndarray, count: np.ndarray, size: int):
+        """Arrow columns (block, context, n) of sorted codes."""
+        own = code // size
+        at = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own))
+        binary = lambda v: pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * v.itemsize).astype(np.int32)), pa.py_buffer(v.tobytes())])
+        return [pa.array(own[at[:-1]].astype(np.int32)), binary((code % size).astype(np.uint16)), binary(count.astype(np.int64))]
+
+    def contexts(it):
+        held, n, task = [], 0, TaskContext.get().partitionId()
+
+        def out():
+            made = packed(*np.unique(np.concatenate(held), return_counts=True), block * 2 * classes)
+            return pa.RecordBatch.from_arrays([*made, pa.array(np.full(len(made[0]), task, np.int32))], names=["block", "context", "n", "task"])
+
+        for b in it:
+            flat = _flat(b)
+            cls = class_of.take(flat)
+            at = np.flatnonzero((flat >= first) & (flat < last))  # never the end, so there is a next one
+            base = (flat[at] - first) * (2 * classes)
+            held += [base + cls[at + 1], base + classes + cls[at - 1]]
+            n += 2 * len(at)
+            if n > CONTEXTS:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
+    def total(t: pa.Table) -> np.ndarray:
+        out = np.zeros(block * 2 * classes, np.int64)
+        for context, n in zip(t.column("context").to_pylist(), t.column("n").to_pylist()):
+            out[np.frombuffer(context, np.uint16)] += np.frombuffer(n, np.int64)
+        return out
+
+    def some(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        own = total(t)
+        code = np.flatnonzero(own)
+        made = packed(code, own[code], len(own))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), *made[1:], pa.array([key[1].as_py()], pa.int32())], names=["block", "context", "n", "task"])
+
+    near = np.log(table + 0.5)
+    rows, cols = np.log(table.sum(1) + 0.5 * classes), np.log(table.sum(0) + 0.5 * classes)
+
+    def best(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        counts = total(t).reshape(block, 2 * classes).astype(float)
+        own = np.flatnonzero(counts.sum(1))
+        after, before = counts[own, :classes], counts[own, classes:]
+        gain = after @ near.T + before @ near - after.sum(1)[:, None] * rows - before.sum(1)[:, None] * cols
+        gain[:, 0] = -np.inf  # the class of the end
+        return pa.table({"word": pa.array((own + key[0].as_py() * block).astype(np.int32)), "cls": pa.array(gain.argmax(1).astype(np.int32))})
+
+    schema = "block int, context binary, n binary, task int"
+    made, tasks = map_arrow(ids, contexts, schema), ids.rdd.getNumPartitions()
+    while tasks > FAN:
+        made, tasks = made.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("block", "task").applyInArrow(some, schema), -(-tasks // FAN)
+    found = made.groupBy("block").applyInArrow(best, "word int, cls int").toArrow()
+    return dict(zip((found.column("word").to_numpy() + first).tolist(), found.column("cls").to_pylist()))
+
+
+def fit(docs: DataFrame, text_col: str = "text", *, classes: int = CLASSES, head: int = HEAD, tails: int = TAILS, known: int = KNOWN, min_count: int = MIN_COUNT, alpha: float = 0.5, beta: float = 0.5) -> Model:
     """Learn from every text of ``docs``."""
-    sc = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     words = stage(map_arrow(texts, _count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     types, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # The end always counts as frequent, however few the texts are.
-    top = words.orderBy(F.col("word") != F.lit(END), F.desc("n"), "word").limit(max(known, 1)).toArrow().to_pydict()
-    frequent = {w: n for w, n in zip(top["word"], top["n"])}
-    head = [END, *[w for w in frequent if w != END][: head_units - 1]]
-    size = len(head) + tail_units
-
-    def bigrams(it):
-        units, counts = Units(head, tail_units), np.zeros(size * size, np.int64)
+    # The words above a count that at most ``known`` words reach.
+    fits = (F.octet_length("word") <= WORD_BYTES) & (F.col("word") != F.lit(END))
+    ranks = words.where(fits).groupBy(rank_expr(F.col("n")).alias("r")).agg(F.count(F.lit(1)).alias("m")).toArrow()
+    least, left = 1 << 62, max(known, 1) - 1
+    for r, m in sorted(zip(ranks.column("r").to_pylist(), ranks.column("m").to_pylist()), reverse=True):
+        if m > left:
+            break
+        least, left = r, left - m
+    is_known = (fits & (rank_expr(F.col("n")) >= least)) | (F.col("word") == F.lit(END))
+    got = words.where(is_known).toArrow()
+    n, spelled = got.column("n").to_numpy(), got.column("word").to_pylist()
+    order = sorted(range(len(spelled)), key=lambda i: (spelled[i] != END, -n[i], spelled[i]))
+    names, counts = [spelled[i] for i in order] or [END], n[order] if len(order) else np.zeros(1, np.int64)
+    head = max(1, min(head, len(names)))
+    sent = docs.sparkSession.sparkContext.broadcast(names)
+
+    def number(it):
+        places = Places(sent.value, tails)
         for b in small(it):
-            flat = array("i", [0])
+            flat, ends = array("i"), [0]
             for text in b.column("text").to_pylist():
-                flat.extend(map(units.__getitem__, tokens(text)))
-            u = np.frombuffer(flat, np.int32).astype(np.int64)  # each text begins after an end
-            counts += np.bincount(u[:-1] * size + u[1:], minlength=size * size)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["pair", "n"])
+                flat.extend(map(places.__getitem__, tokens(text)))
+                ends.append(len(flat))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))], names=["ids"])
 
-    got = map_arrow(texts, bigrams, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(size * size)
-    pairs[got.column("pair").to_numpy()] = got.column("n").to_numpy()
-    pairs = pairs.reshape(size, size)
-    unit_class = exchange(pairs, classes)
+    ids = stage(map_arrow(texts, number, "ids array<int>"), "ids")
+    unit_of = np.concatenate([np.arange(head), [head + tail_of(w, tails) for w in names[head:]], head + np.arange(tails)]).astype(np.int64)
+    unit_class = exchange(_pairs(ids, unit_of, head + tails), classes)
     n_classes = int(unit_class.max()) + 1
-    onto = np.zeros((size, n_classes))
-    onto[np.arange(size), unit_class] = 1
-    table = onto.T @ pairs @ onto + beta
-    transition = np.log10(table / table.sum(1, keepdims=True))
-    sent = sc.broadcast((head, tail_units, unit_class))
+    class_of = unit_class[unit_of]
+    table = _pairs(ids, class_of, n_classes)
+    # Known words stand by falling count: those that come often enough are the first ones.
+    last = head + int((counts[head:] >= min_count).sum())
+    before = likelihood(table)
+    if last > head:
+        class_of = class_of.copy()
+        found = _insert(ids, class_of, table, head, last)
+        class_of[list(found)] = list(found.values())
+        table = _pairs(ids, class_of, n_classes)
+    smooth = table + beta
+    transition = np.log10(smooth / smooth.sum(1, keepdims=True))
+    class_tokens = np.bincount(class_of[: len(names)], counts, n_classes)
+    class_types = np.bincount(class_of[: len(names)], (counts > 0).astype(float), n_classes)
+    tail_class = class_of[len(names) :]
 
     def sizes(it):
-        own, tails, cls = sent.value
-        units, tok, typ = Units(own, tails), np.zeros(n_classes), np.zeros(n_classes)
+        tok, typ = np.zeros(n_classes), np.zeros(n_classes)
         for b in it:
-            c = cls[[units[w] for w in b.column("word").to_pylist()]]
+            c = tail_class[[tail_of(w, tails) for w in b.column("word").to_pylist()]] if b.num_rows else np.zeros(0, np.int64)
             tok += np.bincount(c, b.column("n").to_numpy(), n_classes)
             typ += np.bincount(c, minlength=n_classes)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_classes)), pa.array(tok), pa.array(typ)], names=["cls", "tok", "typ"])
 
-    rows = map_arrow(words, sizes, "cls long, tok double, typ double").groupBy("cls").agg(F.sum("tok"), F.sum("typ")).collect()
-    class_tokens, class_types = np.zeros(n_classes), np.zeros(n_classes)
-    for c, tok, typ in rows:
-        class_tokens[c], class_types[c] = tok, typ
-    return Model(words, total, types, head, tail_units, unit_class, transition, class_tokens, class_types, frequent, alpha)
+    for c, tok, typ in map_arrow(words.where(~is_known), sizes, "cls long, tok double, typ double").groupBy("cls").agg(F.sum("tok"), F.sum("typ")).collect():
+        class_tokens[c] += tok
+        class_types[c] += typ
+    return Model(words.where(~is_known), total, types, names, counts, tails, class_of, transition, class_tokens, class_types, alpha, last, (before, likelihood(table)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,18 +337,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = id_text(docs, id_col, text_col).withColumn("tag", F.monotonically_increasing_id())
     kind = rows.schema["doc_id"].dataType.simpleString()
     base = np.log10(model.tokens + model.types + 1)
-    words = list(model.known)
-    n = np.array([model.known[w] for w in words], float)
-    unit = Units(model.head, model.tail_units)
-    cls = model.unit_class[[unit[w] for w in words]] if words else np.zeros(0, np.int64)
-    tails = model.unit_class[len(model.head) :]
-    # The table a word's place looks up: broadcast words first, then the tail units.
-    class_of, emit, plain = np.concatenate([cls, tails]).astype(np.int64), np.concatenate([model.emission(n, cls), np.zeros(len(tails))]), np.concatenate([np.log10(n + 1) - base, np.zeros(len(tails))])
-    sent = docs.sparkSession.sparkContext.broadcast((words, model.tail_units, class_of, emit, plain, model.transition, len(words), int(model.unit_class[0])))
+    edge, n = len(model.known), model.counts.astype(float)
+    cls = model.class_of[:edge]
+    # By place: known words first, then the units, whose words are joined with their counts.
+    blank = np.zeros(model.tails)
+    emit, plain = np.concatenate([model.emission(n, cls), blank]), np.concatenate([np.log10(n + 1) - base, blank])
+    seen = np.concatenate([model.counts > 0, np.ones(model.tails, bool)])
+    sent = docs.sparkSession.sparkContext.broadcast((model.known, model.tails, model.class_of, emit, plain, seen, model.transition))
 
     def run(it):
-        own, tail_units, class_of, emit, plain, transition, edge, first = sent.value
-        places = Units(own, tail_units)
+        known, tails, class_of, emit, plain, seen, transition = sent.value
+        places, first = Places(known, tails), int(class_of[0])
         for b in small(it):
             tag, word, tf, c_out = [], [], [], []
             docs_n, docs_base, docs_score, docs_known = [], [], [], []
@@ -220,7 +357,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 c = class_of[at]
                 rare = np.flatnonzero(at >= edge)
                 docs_n.append(len(toks))
-                docs_known.append(len(toks) - len(rare))
+                docs_known.append(int(seen[at].sum()) - len(rare))
                 docs_base.append(plain[at].sum())
                 docs_score.append(emit[at].sum() + transition[np.concatenate([[first], c[:-1]]), c].sum())
                 if len(rare):
