@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that become Python objects together, and that are encoded together.
-PART_BYTES, GROUP_BYTES = 4 << 20, 4 << 20
+PART_BYTES, GROUP_BYTES = 4 << 20, 1 << 20
 
 _MADE: list[tuple[object, str]] = []
 

@@ -122,7 +122,7 @@ def step_groups(sequences: list, step_tokens: int) -> list[tuple[int, int]]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, window: int = WINDOW, shortest: int = SHORTEST, hold: int = 4_000_000, step_tokens: int = 32_768, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2, window: int = WINDOW, shortest: int = SHORTEST, hold: int = 2_000_000, step_tokens: int = 32_768, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, tier (its sequence's length), step_group, and with
     ``with_ids`` the ids."""
