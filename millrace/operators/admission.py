@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import pow2
 from ..functions.ordinals import fresh, with_position
 from .receive import sizes_of
 from .routing import Routes, by_group, round_robin, static
@@ -94,6 +95,45 @@ def send_batch(df: DataFrame, ordinal: str, *, closed: list[int] | None = None)
     return _visited(df, ordinal, lambda x: F.when(shut(x), 0).otherwise(x["n"]), shut, "disconnected")
 
 
+def spread_places(rows: int, rooms: list[int], start: int = 0) -> list[tuple[int, int, int]]:
+    """(from, to, shard), places from 1, of what a spreading batch gets in: the
+    next shard takes as much of the front as it has room for, and if something is
+    left, the shard after it takes the last item; and so on.  It ends where that
+    shard has no room: the sender waits there."""
+    rooms, at, lo, hi, out = list(rooms), start, 1, rows, []
+    while lo <= hi:
+        shard = at % len(rooms)
+        n = min(rooms[shard], hi - lo + 1)
+        if n:
+            out.append((lo, lo + n - 1, shard))
+        rooms[shard], lo = rooms[shard] - n, lo + n
+        shard = (at + 1) % len(rooms)
+        if lo > hi or not rooms[shard]:
+            break
+        out.append((hi, hi, shard))
+        rooms[shard], hi, at = rooms[shard] - 1, hi - 1, at + 2
+    return out
+
+
+def spread_batch(df: DataFrame, ordinal: str, shards: int, capacity: int, *, queued: dict[int, int] | None = None, start: int = 0) -> DataFrame:
+    """One batch spread over the shards in rotation, order not kept.  Adds shard and
+    status (accepted, or waiting for what has no room yet).  What is looked up is at
+    most one place for each row there is room for."""
+    rooms = [max(capacity - (queued or {}).get(i, 0), 0) for i in range(pow2(shards))]
+    (at,) = fresh(df, "at")
+    ranked = with_position(df, ordinal, name=at)
+    places = [(p, s) for lo, hi, s in spread_places(df.count(), rooms, start) for p in range(lo, hi + 1)]
+    table = df.sparkSession.createDataFrame(places, "place long, shard int")
+    made = ranked.join(F.broadcast(table), ranked[at] == table["place"], "left").drop("place", at)
+    return made.withColumn("status", F.when(F.col("shard").isNull(), "waiting").otherwise("accepted"))
+
+
+def sent_count(admitted: DataFrame) -> DataFrame:
+    """(sent): what an asynchronous batch comes to; a closed shard isn't an error
+    but a lower count."""
+    return admitted.agg(F.count(F.when(F.col("status") == "accepted", 1)).alias("sent"))
+
+
 def send_batch_timeout(df: DataFrame, ordinal: str, room_at: Column, timeout: float, *, per: str = "call") -> DataFrame:
     """A blocking batch with a deadline.  ``room_at`` is when, after the call's
     start, there is room for a row; rows are sent one after the other, shard by

@@ -90,6 +90,26 @@ def receive(df: DataFrame, shard: int, shards: int) -> DataFrame:
     return df.where(F.col("shard") == shard % shards)
 
 
+def polled(df: DataFrame, ordinal: str, shards: int, taken: int, closed: list[int] | None = None) -> DataFrame:
+    """(shard, status, value): a poll of each shard after ``taken`` rows were taken
+    from it: the next ordinal, or empty; a closed shard is disconnected only once
+    it is drained."""
+    next_row = with_position(df, ordinal, ["shard"]).where(F.col("rn") == taken + 1).select(F.col("shard").alias("own"), F.col(ordinal).alias("value"))
+    every = df.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
+    made = every.join(next_row, F.col("shard") == F.col("own"), "left")
+    done = F.when(F.col("shard").isin(closed if closed is not None else list(range(shards))), "disconnected").otherwise("empty")
+    return made.select("shard", F.when(F.col("own").isNotNull(), "item").otherwise(done).alias("status"), "value")
+
+
+def timed_frames(df: DataFrame, ordinal: str, size: int, at: Column, timeout: float) -> DataFrame:
+    """(shard, calls, empty_calls, rows): batched polls with a timeout.  A call waits
+    up to ``timeout`` for its first row and takes what else is there, so calls that
+    come back empty are the empty polls before a frame's first row."""
+    waited = ticks(df, ordinal, at, timeout)
+    made = framed(waited, ordinal, size).groupBy("shard", "frame").agg(F.min(F.struct("rn", "timeouts"))["timeouts"].alias("empty"), F.count(F.lit(1)).alias("n"))
+    return made.groupBy("shard").agg((F.count(F.lit(1)) + F.sum("empty")).alias("calls"), F.sum("empty").alias("empty_calls"), F.sum("n").alias("rows"))
+
+
 def iterate(df: DataFrame, ordinal: str):
     """The rows one by one, in order, a partition at a time: the driver holds no more."""
     return df.orderBy(ordinal).toLocalIterator(prefetchPartitions=True)

@@ -41,8 +41,8 @@ def round_robin_batches(df: DataFrame, ordinal: str, shards: int, batch: int) ->
     return made.withColumn("shard", F.col("batch").bitwiseAND(F.lit(pow2(shards) - 1).cast("long")).cast("int")).drop(at)
 
 
-def spread_batches(df: DataFrame, shards: int) -> DataFrame:
-    """A batch dealt over all shards, order not kept."""
+def spread_evenly(df: DataFrame, shards: int) -> DataFrame:
+    """Rows dealt over as many partitions, order not kept: for work, not for shards."""
     return df.repartition(pow2(shards))
 
 
@@ -120,6 +120,11 @@ class Pairs:
         del self.left[shard]
         return self.df.where(F.col("shard") == shard)
 
+    def wrapped(self) -> list[tuple[int, DataFrame, DataFrame]]:
+        """(shard, what was sent to it, what is received from it) of all shards not
+        yet taken; both ends carry the shard's number in their column ``shard``."""
+        return [(i, rows, rows) for i, rows in self.rest()]
+
     def rest(self) -> list[tuple[int, DataFrame]]:
         """All shards not yet taken."""
         return [(i, self.take(i)) for i in list(self.left)]

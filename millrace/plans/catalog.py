@@ -136,6 +136,23 @@ def batch_send_group(spark, sf_dir):
     return admission.send_batch(batch, "event_id").where("status <> 'accepted'").select("event_id", "status", "position")
 
 
+def batch_spread(spark, sf_dir):
+    """A batch larger than all room, with shard 2 nearly full."""
+    return _counted(admission.spread_batch(events(spark, sf_dir).select("event_id"), "event_id", SHARDS, CAPACITY, queued={2: 500}), "shard", "status")
+
+
+def batch_send_async(spark, sf_dir):
+    """How many rows got in before the closed shard."""
+    return admission.sent_count(admission.send_batch(sharded(spark, sf_dir), "event_id", closed=[1]))
+
+
+def batch_send_static(spark, sf_dir):
+    """One producer a shard, each with its own batch."""
+    channel = channels.single(spark, CAPACITY, 3)
+    sent = admission.try_send(channel.route(events(spark, sf_dir).select("event_id", "user_id"), "event_id", "user_id"), "event_id", channel.capacity)
+    return _counted(sent, "shard", "status")
+
+
 def _room():
     """Seconds until there is room: longer for later shards."""
     return F.col("shard") * F.col("shard") * 10 + F.col("event_id") % 7
@@ -157,6 +174,15 @@ def recv_ticks(spark, sf_dir):
     return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("timeouts").alias("timeouts"), F.max("timeouts").alias("longest"))
 
 
+def recv_polled(spark, sf_dir):
+    """Polls after 2000 rows of each shard; shard 3 is still open."""
+    return receive.polled(sharded(spark, sf_dir), "event_id", SHARDS, 2000, closed=[0, 1, 2])
+
+
+def recv_batch_timed(spark, sf_dir):
+    return receive.timed_frames(sharded(spark, sf_dir, "ts"), "event_id", FRAME, F.unix_seconds(F.col("ts").cast("timestamp")), 600)
+
+
 def game_loop(spark, sf_dir):
     """Inputs of an hour beyond its room are dropped, and the loop ticks every
     quarter of an hour in which nothing comes."""
@@ -479,6 +505,7 @@ _ALL = (
     admit_try_send, admit_try_send_batch, batch_remainder_order, batch_error, frames, merge_any, merge_batch_any, drain_fold, drain_sink, ordered_fold, fifo_violations,
     dead_letter, slot_outcomes, zero_loss_audit, fill_ratio, elastic_trace, shard_ownership, risk_filter, event_router, heavy_transform, trade_checksum, matching, shard_average, sector,
     stream_fold, stream_fifo_state, stream_stop_resume, stream_dead_letter,
+    batch_spread, batch_send_async, batch_send_static, recv_polled, recv_batch_timed,
     rotate_try_send, group_try_send, static_try_send, send_timeout, send_cancelled, batch_send_closed, batch_send_group, batch_deadline_call, batch_deadline_shard,
     recv_ticks, game_loop, recv_shard, take_pairs, competing, queue_depth, recv_any_closed, drain_total, lcg_work, fifo_violations_found, dead_letter_native,
     stream_fifo_late, stream_matching, pool_stream, pool_failing_sink, pool_stop,
@@ -567,6 +594,20 @@ ORACLES = {
     "static_try_send": f"WITH p AS (SELECT event_id, (user_id % 3)::INT AS shard FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY event_id) AS rn FROM p) SELECT shard, CASE WHEN shard = 2 THEN 'disconnected' WHEN rn <= {CAPACITY} THEN 'accepted' ELSE 'full' END AS status, {_TALLY} FROM r GROUP BY 1, 2",
     "send_timeout": f"SELECT CASE WHEN event_id % 13 <= 9 THEN 'accepted' ELSE 'timeout' END AS status, {_TALLY} FROM events GROUP BY 1",
     "send_cancelled": f"SELECT CASE WHEN event_id % 11 = 0 THEN 'cancelled' ELSE 'accepted' END AS status, event_id % 11 = 0 AS in_slot, {_TALLY} FROM events GROUP BY 1, 2",
+    "batch_spread": f"""WITH RECURSIVE e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM events),
+t(step, lo, hi, rooms, first, last) AS (
+  SELECT -1, 1::BIGINT, count(*)::BIGINT, [{CAPACITY}, {CAPACITY}, {CAPACITY - 500}, {CAPACITY}], 0::BIGINT, 0::BIGINT FROM e
+  UNION ALL
+  SELECT step + 1, CASE WHEN n IS NULL THEN hi + 1 WHEN step % 2 <> 0 THEN lo + n ELSE lo END, CASE WHEN n IS NOT NULL AND step % 2 = 0 THEN hi - 1 ELSE hi END,
+         list_transform(range(0, 4), lambda i: rooms[i::INT + 1] - CASE WHEN i = (step + 1) % 4 THEN coalesce(n, 0) ELSE 0 END::INT),
+         CASE WHEN step % 2 <> 0 THEN lo ELSE hi END, CASE WHEN step % 2 <> 0 THEN lo + coalesce(n, 0) - 1 WHEN n IS NULL THEN hi - 1 ELSE hi END
+  FROM (SELECT *, CASE WHEN step % 2 <> 0 THEN least(rooms[(step + 1) % 4 + 1], hi - lo + 1) WHEN rooms[(step + 1) % 4 + 1] > 0 THEN 1 END::BIGINT AS n FROM t WHERE lo <= hi)),
+p AS (SELECT e.event_id, (t.step % 4)::INT AS shard FROM e LEFT JOIN t ON t.step >= 0 AND e.place BETWEEN t.first AND t.last)
+SELECT shard, CASE WHEN shard IS NULL THEN 'waiting' ELSE 'accepted' END AS status, {_TALLY} FROM p GROUP BY 1, 2""",
+    "batch_send_async": f"WITH {_SHARDED_EVENTS} SELECT count(*) FILTER (WHERE shard < 1) AS sent FROM s",
+    "batch_send_static": f"WITH p AS (SELECT event_id, (user_id % 3)::INT AS shard FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY event_id) AS rn FROM p) SELECT shard, CASE WHEN rn <= {CAPACITY} THEN 'accepted' ELSE 'full' END AS status, {_TALLY} FROM r GROUP BY 1, 2",
+    "recv_polled": f"WITH {_sharded_sql()}, x AS (SELECT * FROM ranked WHERE rn = 2001) SELECT r.range::INT AS shard, CASE WHEN x.event_id IS NOT NULL THEN 'item' WHEN r.range = 3 THEN 'empty' ELSE 'disconnected' END AS status, x.event_id AS value FROM range(4) r LEFT JOIN x ON x.shard = r.range",
+    "recv_batch_timed": f"WITH {_sharded_sql()}, t AS (SELECT shard, rn, {_ticks('PARTITION BY shard', 600)} AS ticks FROM ranked), f AS (SELECT shard, (rn - 1) // {FRAME} AS frame, arg_min(ticks, rn) AS empty, count(*) AS n FROM t GROUP BY 1, 2) SELECT shard, (count(*) + sum(empty))::BIGINT AS calls, sum(empty)::BIGINT AS empty_calls, sum(n)::BIGINT AS rows FROM f GROUP BY 1".replace("AS rows", 'AS "rows"'),
     "batch_send_closed": f"WITH {_SHARDED_EVENTS} SELECT event_id, shard, CASE WHEN shard < 1 THEN 'accepted' WHEN shard = 1 THEN 'disconnected' ELSE 'unsent' END AS status, CASE WHEN shard >= 1 THEN row_number() OVER (PARTITION BY shard >= 1 ORDER BY shard, event_id) END AS position FROM s",
     "batch_send_group": f"SELECT event_id, 'unsent' AS status, row_number() OVER (ORDER BY event_id) AS position FROM events WHERE {_GROUP} IS NULL",
     "batch_deadline_call": _deadline(False, 15),

@@ -124,6 +124,29 @@ def test_deadlines_follow_the_waiting_sender(spark):
             assert got == waited(rows, timeout, per == "shard")
 
 
+def spread_slowly(rows, rooms, start):
+    """Item by item, with lists for queues."""
+    left, queues, at = list(range(1, rows + 1)), [[] for _ in rooms], start
+    while left:
+        own, room = queues[at % len(rooms)], rooms[at % len(rooms)]
+        while left and len(own) < room:
+            own.append(left.pop(0))
+        at += 1
+        if not left or len(queues[at % len(rooms)]) == rooms[at % len(rooms)]:
+            break
+        queues[at % len(rooms)].append(left.pop())
+        at += 1
+    return {v: s for s, own in enumerate(queues) for v in own}
+
+
+def test_spreading_batches():
+    rng = random.Random(3)
+    for _ in range(300):
+        rooms, rows, start = [rng.randint(0, 6) for _ in range(4)], rng.randint(0, 20), rng.randint(0, 3)
+        got = {p: s for lo, hi, s in admission.spread_places(rows, rooms, start) for p in range(lo, hi + 1)}
+        assert got == spread_slowly(rows, rooms, start)
+
+
 def test_empty_polls(spark):
     df = spark.createDataFrame([(0, 0, 0), (1, 0, 10), (2, 0, 11), (3, 0, 31), (4, 1, 5)], "v long, shard int, at long")
     got = {r.v: r.timeouts for r in receive.ticks(df, "v", F.col("at"), 10).collect()}
