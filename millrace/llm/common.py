@@ -2,71 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes that become Python objects together, and that are encoded together.
-PART_BYTES, GROUP_BYTES = 4 << 20, 1 << 20
-
-_MADE: list[tuple[object, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where it is unset a temporary folder is taken, but only in local mode: on a
-    cluster such a folder would exist on one machine only, so that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="millrace-")
-    spark.sparkContext.setCheckpointDir(made)
-    return shared_dir(spark)
-
-
-def _drop(jvm_path, conf) -> None:
-    try:
-        jvm_path.getFileSystem(conf).delete(jvm_path, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit
-        pass
+from ..sources.shared import new_path as stage_path
+from ..sources.shared import written as stage
 
+__all__ = ["bucket_count", "give_back", "grouped", "id_text", "map_arrow", "parts", "small", "stage", "stage_path"]
 
-@atexit.register
-def _drop_all() -> None:
-    for conf, path in _MADE:
-        _drop(path, conf)
-
-
-def stage_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; it is removed when the driver ends."""
-    path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-    sc = spark.sparkContext
-    _MADE.append((sc._jsc.hadoopConfiguration(), sc._jvm.org.apache.hadoop.fs.Path(path)))
-    return path
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: it cuts lineage, so
-    a lost executor costs a re-read and not a recomputation."""
-    spark = df.sparkSession
-    path = stage_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+#: Text bytes that become Python objects together, and that are encoded together.
+PART_BYTES, GROUP_BYTES = 4 << 20, 1 << 20
 
 def id_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) with null texts as empty; other columns, whatever their

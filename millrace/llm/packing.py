@@ -14,8 +14,8 @@ are grouped into steps of ``step_tokens`` ids each, dealt in order of attention
 cost (sum of squared piece lengths) forth and back so that steps cost alike.
 
 Defined results: null text counts as empty and gives the end id alone; repeated
-rows are packed as often as they come; an empty table gives no piece; other
-columns are ignored.
+rows are packed as often as they come; null ids are kept; an empty table gives no
+piece; other columns are ignored.
 """
 
 from __future__ import annotations

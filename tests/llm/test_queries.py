@@ -124,3 +124,21 @@ def test_pipeline_stages_on_edges(spark, edge, empty):
             assert all(n <= given[r] for r, n in kept.items()), name
         assert (docs.count() > 0) == (before.count() > 0)
         assert corpus_pipeline.pack(spark, docs, DATA).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_null_and_text_ids(spark):
+    """Ids of any type, null ones among them, come back as they are from every operator."""
+    from millrace.llm import bpe, brown, exact, langid, lines, packing, resemblance, shards, simhash
+
+    rows = [("b", "the cat sat on the mat", "en"), (None, "der Hund lief durch den Wald", "de"), (None, None, None), ("a", "the cat sat on the mat", "en"), ("c", "", "en")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = brown.fit(df, head=5, tails=4, classes=3)
+    word, byte = queries.tokenizer_path("word_bpe_49k.json"), queries.tokenizer_path("byte_bpe_50k.json")
+    made = {
+        "packing": packing.pieces(df, word).where("start = 0"),
+        "langid": langid.predict(df, langid.learn(df)), "simhash": simhash.classes(df), "resemblance": resemblance.classes(df), "bpe": bpe.encode_decode(df, byte),
+        "exact": exact.decisions(df), "shards": shards.plan(df, shards=2), "brown": brown.score(df, model), "lines": lines.drop_common(df),
+    }
+    for name, out in made.items():
+        got = Counter(r.doc_id for r in out.collect())
+        assert got == Counter(i for i, _, _ in rows), name
