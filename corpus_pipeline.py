@@ -9,7 +9,13 @@ writes as Parquet to the shared folder and reads back as the next one's docs.
   similarity of 0.8 or more) the one with the smallest id stays;
 * packing: what is left is packed into training sequences, a row per piece.
 
-``language`` learns from the labelled rows among its own input.
+``language`` learns from the labelled rows among its own input; if none is labelled
+it keeps every text that has a letter.
+
+Defined results: columns of any name and null values are carried through; repeated
+rows are equal texts, of which one stays; null ids are ids like any other (never the
+largest of equal texts, never the smallest of near copies unless all are null); an
+empty table stays empty and packs to nothing.
 """
 
 from millrace.llm import exact, langid, packing, resemblance
