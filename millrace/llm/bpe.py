@@ -24,8 +24,8 @@ bytes along the arcs.
 
 Defined results: null text counts as empty and has no ids; special tokens'
 strings in a text are their ids; ids that aren't valid UTF-8 decode with
-replacement characters; repeated rows and an empty table are as they come;
-other columns are ignored.
+replacement characters; null ids are kept; repeated rows and an empty table are as
+they come; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,8 +48,8 @@ from .vocab import BYTES, LETTERS, SPELLED, Kept, Words, byte_level
 #: How the library's byte-level pre-tokenizer cuts texts; other files are refused.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Arcs kept in the transition table.
-TABLE = 1_000_000
+#: Arcs kept in the transition table, and bytes of words whose ids are kept.
+TABLE, WORDS_BYTES = 1_000_000, 80 << 20
 
 
 class Unfit(ValueError):
@@ -76,7 +76,7 @@ class Automaton:
                 if a + b in waiting:
                     raise Unfit("a merge stands before one that makes a part of it")
                 self.live[a + b] = labels[a + b]
-            waiting |= {a, b} - self.live.keys()
+            waiting.update(x for x in (a, b) if x not in self.live)
         self.table.clear()
         self.ends = ahocorasick.Automaton()  # the labels that end at each byte
         for b, i in self.live.items():
@@ -165,7 +165,7 @@ class SideBySide:
     """The automaton over many words: what ``Merges`` is to the library."""
 
     def __init__(self, encode, before: bytes):
-        self.kept, self.before = Kept(lambda w: array("I", encode(w)).tobytes()), before
+        self.kept, self.before = Kept(lambda w: array("I", encode(w)).tobytes(), WORDS_BYTES), before
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw, kept, before = data.tobytes(), self.kept, self.before
@@ -230,7 +230,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     def run(it):
         codec = codec_of(tokenizer)
-        for b in grouped(it):
+        for b in grouped(it, size=4 << 20):
             ids, ends = codec.encoder(b.column("text"))
             made = np.split(ids, ends[:-1])
             back = [codec.decode(x.tolist()) for x in made]

@@ -77,18 +77,22 @@ def joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Kept(dict):
-    """chunk -> ids as bytes, filled on demand and emptied when it is full."""
+    """chunk -> ids as bytes, filled on demand, in two generations: when the younger
+    one has half of ``most`` bytes it becomes the older one, whose chunks come back
+    when they are met again, so frequent ones stay."""
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = STORE_BYTES):
+    def __init__(self, encode: Callable, most: int = STORE_BYTES):
         super().__init__()
-        self.encode, self.most, self.size = encode, most, 0
+        self.encode, self.most, self.size, self.old = encode, most, 0, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        made = self.encode(chunk)
+    def __missing__(self, chunk) -> bytes:
+        made = self.old.get(chunk)
+        if made is None:
+            made = self.encode(chunk)
         self.size += len(chunk) + len(made) + 200  # and what a dict's entry takes
-        if self.size > self.most:
+        if self.size > self.most // 2:
+            self.old, self.size = dict(self), len(chunk) + len(made) + 200
             self.clear()
-            self.size = len(chunk) + len(made) + 200
         self[chunk] = made
         return made
 
