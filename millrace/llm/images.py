@@ -13,11 +13,21 @@ holds for cropped, turned, resized, brightened or overprinted copies, since a pa
 of the corners is enough.  Classes are the connected components of the links.
 
 Images with equal pixels are compared once, by one of them.  Of the images that
-agree in a key, each is matched with the ``first`` earliest that it agrees with:
-in a group of many copies all are so linked to the earliest ones, and the matches
-grow with the group and not with its pairs.  Rows (key, other half, tag, place)
-are shuffled once, to buckets of many keys; a key with very many rows is cut into
-chunks and each pair of chunks is a task of its own.
+agree in a key, each is first matched with the ``first`` earliest that it agrees
+with: in a group of many copies all are so linked to the earliest ones, and the
+matches grow with the group and not with its pairs.  Rows (key, other half, tag,
+place) are shuffled once, to buckets of many keys; a key with very many rows is cut
+into chunks and each pair of chunks is a task of its own.
+
+What that limit left out is then made up for (``rest``), so the classes are those
+of all matches, whatever ``first`` is.  The keys where it left out a match are
+known; among them only those matter that hold images of more than one class so far.
+A link needs ``least`` corners of its earlier image, so at least one is left when
+each image's ``least - 1`` corners with the most classes are put aside: any two
+images of different classes that share one of the others in such a key, or that
+were matched before and may still come to ``least``, are a candidate, and each
+candidate is decided by all matches of the two images.  A corner that thousands of
+pictures have in common, as of a logo, is so put aside in all of them.
 
 Corners grow with the picture: the ``corners`` strongest of each square of ``CELL``
 pixels on each scale, and scales go on by 0.7 down to the smallest that has room
@@ -38,10 +48,12 @@ import math
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_count, map_arrow, small, stage
@@ -52,6 +64,9 @@ MOST_PIXELS = 1 << 26
 
 #: Rows of a chunk of a key, and rows that a bucket should have.
 CHUNK, BUCKET = 8192, 100_000
+
+#: Up to this many keys are broadcast, and pairs of rows that are compared together.
+BROADCAST_KEYS, BLOCK = 500_000, 1 << 20
 _TURNS = 32
 _HEADER = re.compile(rb"P([56])(?:\s+#[^\n]*)*\s+(\d+)(?:\s+#[^\n]*)*\s+(\d+)(?:\s+#[^\n]*)*\s+(\d+)\s")
 
@@ -218,10 +233,11 @@ def described(images: DataFrame, id_col: str, image_col: str, corners: int) -> D
     return map_arrow(rows, run, f"image_id {kind}, tag long, pixels binary, geo array<long>, d0 array<long>, d1 array<long>")
 
 
-def agreeing(side: np.ndarray, key: np.ndarray, other: np.ndarray, tag: np.ndarray, part: np.ndarray, radius: int, first: int):
+def agreeing(side: np.ndarray, key: np.ndarray, other: np.ndarray, tag: np.ndarray, part: np.ndarray, radius: int, first: int, cut: np.ndarray | None = None):
     """Yield (earlier, later) rows that agree in side and key, differ in at most
     ``radius`` bits of ``other``, are of different tags and, where there are two
-    parts, of different parts; a row has its ``first`` earliest partners."""
+    parts, of different parts; a row has its ``first`` earliest partners, and
+    ``cut`` is set for rows that have more."""
     order = np.lexsort((part, tag, key, side))
     new = np.ones(len(order), bool)
     new[1:] = (np.diff(key[order]) != 0) | (np.diff(side[order]) != 0)
@@ -243,35 +259,81 @@ def agreeing(side: np.ndarray, key: np.ndarray, other: np.ndarray, tag: np.ndarr
                 met = count[:, -1:]
                 g, i, j = np.nonzero(hit & (count <= first))
                 yield left[g, i], rows[g, j]
+            if cut is not None:
+                cut[rows[met[:, 0] > first]] = True
+
+
+def across(side: np.ndarray, key: np.ndarray, other: np.ndarray, tag: np.ndarray, part: np.ndarray, root: np.ndarray, early: np.ndarray, radius: int, block: int = BLOCK):
+    """Yield all (earlier, later) rows that agree as ``agreeing`` says, without a
+    limit, but only those of different classes ``root`` whose earlier row is one of
+    ``early``."""
+    order = np.lexsort((tag, key, side))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(key[order]) != 0) | (np.diff(side[order]) != 0)
+    ends = np.append(np.flatnonzero(new)[1:], len(order))[np.cumsum(new) - 1]
+    two = len(part) and part.min() != part.max()
+    left = np.flatnonzero(early[order])
+    after = ends[left] - left - 1
+    total, at = np.cumsum(after), 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - after[at] + block, "right")))
+        n = after[at:to]
+        i = np.repeat(left[at:to], n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        p, q = order[i], order[j]
+        keep = (root[p] != root[q]) & (tag[p] < tag[q]) & (np.bitwise_count(other[p] ^ other[q]) <= radius)
+        if two:
+            keep &= part[p] != part[q]
+        yield p[keep], q[keep]
+        at = to
 
 
 def _bucket_matches(radius: int, first: int):
     def run(table: pa.Table) -> pa.Table:
         side, key, other, tag, geo, part = (table.column(c).to_numpy() for c in ("side", "key", "other", "tag", "geo", "part"))
-        made = list(agreeing(side, key, other.view(np.uint64), tag, part, radius, first))
+        cut = np.zeros(len(tag), bool)
+        made = list(agreeing(side, key, other.view(np.uint64), tag, part, radius, first, cut))
         p, q = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*made) if made else ((), ())))
-        return pa.table({"a": tag[p], "b": tag[q], "ga": geo[p], "gb": geo[q]})
+        keys = np.unique(np.stack([side[cut], key[cut]], 1), axis=0)
+        found = pa.table({"a": tag[p], "b": tag[q], "ga": geo[p], "gb": geo[q]})
+        return pa.concat_tables([found, pa.table({"side": keys[:, 0].astype(np.int32), "key": keys[:, 1]})], promote_options="default")
 
     return run
 
 
-def matches(points: DataFrame, n: int, radius: int, first: int, chunk: int = CHUNK) -> DataFrame:
-    """(a, b, ga, gb) of matching corners of different images, a < b, of
-    ``points`` (tag, geo, d0, d1), arrays with ``n`` corners in all; a match may
-    come from both tables."""
+def half_rows(points: DataFrame) -> DataFrame:
+    """(tag, geo, side, key, other): both rows of each corner of ``points``."""
     corner = points.select("tag", F.explode(F.arrays_zip("geo", "d0", "d1")).alias("c"))
-    rows = corner.select("tag", "c.geo", F.expr("stack(2, 0, c.d0, c.d1, 1, c.d1, c.d0) as (side, key, other)"))
+    return corner.select("tag", "c.geo", F.expr("stack(2, 0, c.d0, c.d1, 1, c.d1, c.d0) as (side, key, other)"))
+
+
+def by_bucket(rows: DataFrame, count: int, chunk: int):
+    """The ``count`` rows grouped to buckets of keys and, of keys with very many
+    rows, to pairs of chunks; ``part`` is a row's chunk."""
     # Which keys are cut is told by a sample; it changes no result.  At most 100,000 keys
     # can have so large a share of the rows.
-    share = max(chunk, 2 * n // 100_000)
+    share = max(chunk, count // 100_000)
     hot = rows.where("pmod(xxhash64(tag, geo), 64) = 0").groupBy("side", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") * 64 > share)
     hot = F.broadcast(stage(hot.select(F.col("side").alias("h_side"), F.col("key").alias("h_key"), F.ceil(F.col("m") * 64 / chunk).cast("int").alias("parts")), "hot"))
     dealt = rows.join(hot, (F.col("side") == F.col("h_side")) & (F.col("key") == F.col("h_key")), "left").drop("h_side", "h_key")
     dealt = dealt.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("tag"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    buckets = bucket_count(2 * n, BUCKET)
-    dealt = dealt.select("side", "key", "other", "tag", "geo", "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.pmod(F.xxhash64("side", "key"), F.lit(buckets)).cast("int").alias("bucket"))
-    return dealt.groupBy("bucket", "i", "j").applyInArrow(_bucket_matches(radius, first), "a long, b long, ga long, gb long")
+    buckets = bucket_count(count, BUCKET)
+    dealt = dealt.select(*rows.columns, "part", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), F.pmod(F.xxhash64("side", "key"), F.lit(buckets)).cast("int").alias("bucket"))
+    return dealt.groupBy("bucket", "i", "j")
+
+
+def first_matches(points: DataFrame, n: int, radius: int, first: int, chunk: int = CHUNK) -> DataFrame:
+    """(a, b, ga, gb, side, key): ``matches``, and rows that have only side and key,
+    of the keys where ``first`` left out matches."""
+    return by_bucket(half_rows(points), 2 * n, chunk).applyInArrow(_bucket_matches(radius, first), "a long, b long, ga long, gb long, side int, key long")
+
+
+def matches(points: DataFrame, n: int, radius: int, first: int, chunk: int = CHUNK) -> DataFrame:
+    """(a, b, ga, gb) of matching corners of different images, a < b, of
+    ``points`` (tag, geo, d0, d1), arrays with ``n`` corners in all; a match may
+    come from both tables."""
+    return first_matches(points, n, radius, first, chunk).where("a is not null").select("a", "b", "ga", "gb")
 
 
 def _often(code: np.ndarray, least: int) -> np.ndarray:
@@ -328,6 +390,67 @@ def links(found: DataFrame, least: int, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
+def _bucket_pairs(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        side, key, other, tag, part, root = (table.column(c).to_numpy() for c in ("side", "key", "other", "tag", "part", "root"))
+        early = table.column("early").to_numpy()
+        tags, place = np.unique(tag, return_inverse=True)
+        for p, q in across(side, key, other.view(np.uint64), tag, part, root, early, radius):
+            pair = np.unique(place[p] * len(tags) + place[q])
+            yield pa.RecordBatch.from_arrays([pa.array(tags[pair // len(tags)]), pa.array(tags[pair % len(tags)])], names=["a", "b"])
+
+    return run
+
+
+def decided(pairs: DataFrame, points: DataFrame, radius: int, least: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that all matches of the two images link."""
+    both = pairs
+    for c in ("a", "b"):
+        both = both.join(points.select(F.col("tag").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("geo", "d0", "d1")]), c)
+
+    def run(it):
+        for b in small(small(it, "geo_a", 1 << 18), "geo_b", 1 << 18):
+            sizes = [pc.list_value_length(b.column(f"geo_{c}")).to_numpy() for c in "ab"]
+            pair = np.concatenate([np.repeat(np.arange(b.num_rows), n) for n in sizes])
+            geo, d0, d1 = (np.concatenate([b.column(f"{v}_{c}").flatten().to_numpy() for c in "ab"]) for v in ("geo", "d0", "d1"))
+            tag, side = np.tile(np.repeat([0, 1], [n.sum() for n in sizes]), 2), np.concatenate([2 * pair, 2 * pair + 1])
+            made = list(across(side, np.concatenate([d0, d1]), np.concatenate([d1, d0]).view(np.uint64), tag, np.zeros(len(tag), int), tag, tag == 0, radius))
+            p, q = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*made) if made else ((), ())))
+            pair, geo = np.tile(pair, 2)[p], np.tile(geo, 2)
+            won = voted(b.column("a").to_numpy()[pair], b.column("b").to_numpy()[pair], geo[p], geo[q], least)
+            yield pa.RecordBatch.from_arrays([pa.array(won[:, 0]), pa.array(won[:, 1])], names=["a", "b"])
+
+    return map_arrow(both, run, "a long, b long")
+
+
+def rest(points: DataFrame, reps: DataFrame, met: DataFrame, roots: DataFrame, radius: int, least: int, chunk: int = CHUNK) -> DataFrame | None:
+    """(a, b) links between classes (node, root) that ``met``, the first matches of
+    the ``reps`` (tag) among ``points``, left out; None if it left out nothing that
+    could link two classes."""
+    cut = stage(met.where("side is not null").select("side", "key").distinct(), "cut")
+    if not (keys := cut.count()):
+        return None
+    rows = half_rows(points).join(F.broadcast(cut) if keys <= BROADCAST_KEYS else cut, ["side", "key"], "left_semi")
+    rows = stage(rows.join(reps, "tag", "left_semi").join(roots.select(F.col("node").alias("tag"), "root"), "tag", "left").withColumn("root", F.coalesce("root", "tag")), "cut_rows")
+    wide = stage(rows.groupBy("side", "key").agg(F.count_distinct("root").alias("held")).where("held > 1"), "wide")
+    rows = rows.join(wide, ["side", "key"])
+    place = Window.partitionBy("tag").orderBy(F.desc("cost"), "geo")
+    corner = rows.groupBy("tag", "root", "geo").agg(F.sum("held").alias("cost")).withColumn("early", F.row_number().over(place) >= least)
+    corner = stage(corner.select("tag", "root", "geo", "early"), "corners")
+    if not corner.take(1):
+        return None
+    rows = stage(rows.drop("held", "root").join(corner, ["tag", "geo"]), "wide_rows")
+    later = by_bucket(rows, rows.count(), chunk).applyInArrow(_bucket_pairs(radius), "a long, b long")
+    # Pairs matched before come to at most their corners that lost nothing and all of those that may have.
+    own = stage(corner.groupBy("tag", "root").agg(F.count(F.lit(1)).alias("lost")), "own")
+    before = met.where("a is not null").join(own.select(F.col("tag").alias("a"), F.col("root").alias("ra"), "lost"), "a").join(own.select(F.col("tag").alias("b"), F.col("root").alias("rb")), "b")
+    before = before.where("ra <> rb").join(corner.select(F.col("tag").alias("a"), F.col("geo").alias("ga"), "early"), ["a", "ga"], "left")
+    before = before.groupBy("a", "b", "lost").agg(F.count_distinct(F.when(F.col("early").isNull(), F.col("ga"))).alias("n")).where(F.col("n") + F.col("lost") >= least)
+    pairs = stage(later.unionByName(before.select("a", "b")).distinct(), "candidates")
+    return decided(pairs, points, radius, least)
+
+
 def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image", *, corners: int = CORNERS, radius: int = RADIUS, least: int = LEAST, first: int = FIRST, chunk: int = CHUNK) -> DataFrame:
     """(image_id, class_id, class_size): class_id is the smallest id of the class
     and class_size the images it has."""
@@ -335,10 +458,14 @@ def copies(images: DataFrame, id_col: str = "image_id", image_col: str = "image"
     # One image stands for all with its pixels; what isn't an image stands for itself.
     group = F.coalesce(F.col("pixels"), F.concat(F.lit("-"), F.col("tag").cast("string")).cast("binary"))
     groups = stage(all_images.groupBy(group.alias("g")).agg(F.min("tag").alias("rep"), F.count(F.lit(1)).alias("same"), F.min("image_id").alias("least_id")), "groups")
-    points = all_images.where(F.size("geo") > 0).join(groups.select("rep"), F.col("tag") == F.col("rep"), "left_semi").select("tag", "geo", "d0", "d1")
+    points, reps = all_images.select("tag", "geo", "d0", "d1"), groups.select(F.col("rep").alias("tag"))
     n = all_images.agg(F.coalesce(F.sum(F.size("geo")), F.lit(0))).first()[0]
-    found = stage(matches(points, n, radius, first, chunk), "matches")
+    met = stage(first_matches(points.where(F.size("geo") > 0).join(reps, "tag", "left_semi"), n, radius, first, chunk), "matches")
+    found = met.where("a is not null").select("a", "b", "ga", "gb")
     roots = components(links(found, least, bucket_count(found.count(), BUCKET)))
+    more = rest(points, reps, met, roots, radius, least, chunk)
+    if more is not None:
+        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
     named = stage(groups.join(roots, groups.rep == roots.node, "left").select("g", "least_id", "same", F.coalesce("root", "rep").alias("root")), "named")
     classes = stage(named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("same").alias("class_size")), "classes")
     final = stage(named.join(classes, "root").select("g", "class_id", "class_size"), "final")

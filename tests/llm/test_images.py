@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import images
+from millrace.llm.simhash import forest
 
 
 def rows_of(rng, n, keys=12):
@@ -51,6 +52,72 @@ def test_a_group_of_many_copies(spark):
     assert images.matches(points, 30_000, images.RADIUS, 8).count() < 2 * 8 * 320 * 200
 
 
+def copies_of(spark, monkeypatch, corners, **options):
+    """Classes of images that are given as lists of (geo, d0, d1), by their places."""
+    made = [(i, i, str(i).encode(), *([int(c[k]) for c in own] for k in range(3))) for i, own in enumerate(corners)]
+    points = spark.createDataFrame(made, "image_id long, tag long, pixels binary, geo array<long>, d0 array<long>, d1 array<long>")
+    monkeypatch.setattr(images, "described", lambda *_: points)
+    got = {r.image_id: r.class_id for r in images.copies(points, **options).collect()}
+    return [got[i] for i in range(len(corners))]
+
+
+def spot(k):
+    """The place of corner k of a grid."""
+    return int(images.packed(*(np.array([v]) for v in (20 * (k // 8), 20 * (k % 8), 0, 0.0)))[0])
+
+
+def test_links_beyond_the_first_partners(spark, monkeypatch):
+    """Two images share 16 corners, each of which 10 earlier images have as well; these have 4 each."""
+    rng = np.random.default_rng(11)
+    d = rng.integers(-(2**62), 2**62, (16, 2))
+    shared = [(spot(k), *d[k]) for k in range(16)]
+    early = [[shared[k] for k in range(16) if k % 4 == t % 4] for t in range(40)]
+    got = copies_of(spark, monkeypatch, [*early, shared, shared[:8] + [(g, a + 1, b + 1) for g, a, b in shared[8:]], shared])
+    assert got == [*range(40), 40, 40, 40]
+
+
+def test_a_corner_that_all_have_makes_no_candidates(spark, monkeypatch):
+    """7 corners of a logo link nothing, and no two of 300 images are compared for them."""
+    rng = np.random.default_rng(12)
+    logo = [(spot(k), *rng.integers(-(2**62), 2**62, 2)) for k in range(7)]
+    seen, real = [], images.decided
+    monkeypatch.setattr(images, "decided", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    own = [[*logo, *((spot(k), *rng.integers(-(2**62), 2**62, 2)) for k in range(8, 20))] for _ in range(300)]
+    got = copies_of(spark, monkeypatch, [*own, own[7]])
+    assert got == [*range(300), 7] and seen[0] < 300
+
+
+@pytest.mark.parametrize("first, chunk", [(1, 1 << 20), (2, 16)])
+def test_classes_are_those_of_all_matches(spark, monkeypatch, first, chunk):
+    """Against brute force, on images of which many share corners with many."""
+    rng = np.random.default_rng(first)
+    pool = rng.integers(-(2**62), 2**62, (40, 2))
+    corners = []
+    for _ in range(150):
+        own = rng.choice(40, rng.integers(3, 14), replace=False)
+        bits = np.int64(1) << rng.integers(0, 20, (len(own), 2))
+        corners.append([(spot(k), *(pool[k] ^ (b * (rng.random(2) < 0.3)))) for k, b in zip(own, bits)])
+    sizes = [len(c) for c in corners]
+    flat = np.array([c for own in corners for c in own], np.int64)
+    tag, geo, d0, d1 = np.repeat(np.arange(150), sizes), *flat.T
+    n = len(tag)
+    pairs = list(images.agreeing(np.repeat([0, 1], n), np.concatenate([d0, d1]), np.concatenate([d1, d0]).view(np.uint64), np.tile(tag, 2), np.zeros(2 * n, int), images.RADIUS, 10**6))
+    p, q = (np.concatenate(x) for x in zip(*pairs))
+    linked = images.voted(np.tile(tag, 2)[p], np.tile(tag, 2)[q], np.tile(geo, 2)[p], np.tile(geo, 2)[q], 5)
+    want = forest(150, [(linked[:, 0], linked[:, 1])]).tolist()
+    assert 3 < len(set(want)) < 147
+    assert copies_of(spark, monkeypatch, corners, first=first, chunk=chunk, least=5) == want
+
+
+def test_across_is_exact():
+    rng = np.random.default_rng(4)
+    side, key, other, tag = rows_of(rng, 1200)
+    root, early = tag // 3, rng.random(1200) < 0.5
+    got = [(int(a), int(b)) for p, q in images.across(side, key, other, tag, np.zeros(1200, int), root, early, 12, 500) for a, b in zip(p, q)]
+    want = {(i, j) for i in range(1200) for j in range(1200) if early[i] and tag[i] < tag[j] and root[i] != root[j] and side[i] == side[j] and key[i] == key[j] and int(other[i] ^ other[j]).bit_count() <= 12}
+    assert want and len(set(got)) == len(got) and set(got) == want
+
+
 EDITS = {
     "crop": lambda g, r: images.edited(g, 0), "turn by 90": lambda g, r: images.edited(g, 1), "brighter": lambda g, r: images.edited(g, 2),
     "smaller": lambda g, r: images.edited(g, 3), "stamp": lambda g, r: images.edited(g, 4), "quarter": lambda g, r: g[10:70, 14:74], "mirror of turn by 180": lambda g, r: g[::-1, ::-1],
