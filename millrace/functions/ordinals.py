@@ -6,21 +6,26 @@ value is found within its stretch and shifted by what earlier stretches hold.  W
 a single task sees is a stretch of rows, or one row for each of at most ``MOST``
 stretches, so a key with a third of all rows is spread as well.
 
-A table that Spark's own estimate takes to be small is one stretch; results don't
-depend on the stretches.  Ordinals should be unique within a key: rows with equal
+A table that Spark's own estimate takes to be small is one stretch, others have one
+for each ``STRETCH_ROWS`` rows, and a task each; results don't depend on the stretches.  Ordinals should be unique within a key: rows with equal
 ones stand in one stretch, in the order of a hash of the row.  Names of helper
 columns are chosen so that they don't clash with those of the table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes, by Spark's estimate, that one stretch is for, and the most stretches.
-STRETCH_BYTES, MOST = 128 << 20, 4096
+#: Tables below so many bytes, by Spark's estimate, are one stretch; rows that a
+#: stretch of others is for, and the most stretches.
+SMALL_BYTES, STRETCH_ROWS, MOST = 8 << 20, 1 << 19, 4096
+
+#: Cuts that are compared in generated code.
+MOST_COMPARED = 128
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -44,23 +49,33 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def bounds(df: DataFrame, ordinal: str, stretches: int | None = None) -> list[float]:
-    """Ordinals that cut ``df`` into stretches, by quantiles of all its rows."""
-    n = stretches or min(MOST, -(-estimated_bytes(df) // STRETCH_BYTES))
+    """Ordinals that cut ``df`` into stretches, by quantiles of all its rows.  Files
+    of one size may hold any number of rows, so unless they are small rows are counted."""
+    n = stretches or (1 if estimated_bytes(df) < SMALL_BYTES else min(MOST, -(-df.count() // STRETCH_ROWS)))
     if n < 2:
         return []
     return sorted(set(df.approxQuantile(ordinal, [i / n for i in range(1, n)], 1 / (4 * n))))
 
 
+def _by_halves(ordinal: Column, cuts: list[float], low: int, high: int) -> Column:
+    if low == high:
+        return F.lit(low)
+    at = (low + high) // 2
+    return F.when(ordinal > cuts[at], _by_halves(ordinal, cuts, at + 1, high)).otherwise(_by_halves(ordinal, cuts, low, at))
+
+
 def stretch_of(ordinal: Column, cuts: list[float]) -> Column:
-    """How many cuts lie below the ordinal, found in two steps of some 64 each."""
-    if not cuts:
-        return F.lit(0)
+    """How many cuts lie below the ordinal, found by halves, or where that makes too
+    much code in two steps of the root of their number each."""
+    if len(cuts) <= MOST_COMPARED:
+        return _by_halves(ordinal, cuts, 0, len(cuts))
     below = lambda xs: F.size(F.filter(xs, lambda c: c < ordinal))
-    parts = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    size = math.isqrt(len(cuts) - 1) + 1
+    parts = [cuts[i : i + size] for i in range(0, len(cuts), size)]
     ends = F.array(*[F.lit(p[-1]) for p in parts])  # a part is passed if its last cut lies below
     fine = F.array(*[F.array(*map(F.lit, p)) for p in parts])
     passed = below(ends)
-    return F.when(passed == len(parts), F.lit(len(cuts))).otherwise(passed * 64 + below(F.get(fine, passed)))
+    return F.when(passed == len(parts), F.lit(len(cuts))).otherwise(passed * size + F.coalesce(below(F.get(fine, passed)), F.lit(0)))
 
 
 def _order(df: DataFrame, ordinal: str) -> list[Column]:
@@ -80,14 +95,17 @@ def shifted(df: DataFrame, ordinal: str, by: list[str], name: str, inside: Calla
     at, own, base, other = fresh(df, "stretch", "own", "base", "other")
     keys = fresh(df, *[f"key{i}" for i in range(len(by))])
     cut = df.withColumn(at, stretch_of(F.col(f"`{ordinal}`"), cuts))
-    local = cut.withColumn(own, inside(Window.partitionBy(*by, at).orderBy(*_order(df, ordinal))))
+    # Partition i is stretch i: joined ones would be sorted in one task.
+    local = cut.repartitionById(len(cuts) + 1, at).withColumn(own, inside(Window.partitionBy(*by, at).orderBy(*_order(df, ordinal))))
     totals = cut.groupBy(*by, at).agg(total.alias(own))
     order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)], F.col(at).alias(other), fold(F.col(own)).over(order).alias(base))
-    same = F.col(at) == F.col(other)
+    bases = totals.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)], (F.col(at) + 1).alias(other), fold(F.col(own)).over(order).alias(base))
+    # Were both plain columns, Spark would put what it infers of the one as a filter
+    # on the other's side, where the ordinal isn't found.
+    same = F.col(at) + 1 == F.col(other)
     for c, k in zip(by, keys):
         same = same & F.col(f"`{c}`").eqNullSafe(F.col(k))
-    made = local.join(bases, same)
+    made = local.join(bases if by else F.broadcast(bases), same)  # without keys a row a stretch
     return made.withColumn(name, combine(F.col(base), F.col(own))).drop(at, own, base, other, *keys)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions.hashing import key_shard, pow2, wrapping_affine
-from millrace.functions.ordinals import most_before, running_sum, with_position
+from millrace.functions.ordinals import bounds, most_before, running_sum, with_position
 from millrace.operators import admission, apps, audit, channels, elastic, folds, handlers, receive, routing
 
 
@@ -58,6 +58,30 @@ def test_position_over_many_buckets(spark):
     assert {r.o: r.rn for r in with_position(df, "o", ["k"], stretches=7).collect()} == {i: n + 1 for x in own.values() for n, i in enumerate(x)}
 
 
+@pytest.fixture(scope="module")
+def long_table(spark, tmp_path_factory):
+    """2.5 million rows in files of some 30 MB."""
+    path = str(tmp_path_factory.mktemp("long") / "t")
+    spark.range(2_500_000).select("id", F.xxhash64("id").alias("v")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_tables_are_cut_by_rows(long_table):
+    """No stretch holds many more rows than it is for, however small their files."""
+    assert len(bounds(long_table, "id")) == 4
+    dealt = with_position(long_table.select("id"), "id", name="a").withColumn("part", F.spark_partition_id())
+    assert dealt.groupBy("part").count().agg(F.max("count")).first()[0] < 700_000
+
+
+@pytest.mark.parametrize("stretches", [None, 23, 200])
+def test_positions_of_positions(long_table, stretches):
+    """Over several stretches, one found by the other, and counted."""
+    first = with_position(long_table.select("id"), "id", name="a", stretches=stretches)
+    assert first.count() == 2_500_000
+    made = with_position(first.withColumn("shard", F.col("a") % 4), "id", ["shard"], "b", stretches=stretches)
+    assert made.where("a = id + 1 and b = id div 4 + 1").count() == 2_500_000
+
+
 def test_running_values_do_not_depend_on_stretches(spark):
     """A key with a third of all rows, nulls, and columns that helpers might be called."""
     rng = random.Random(6)
