@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,26 +50,92 @@ def keyed_state(df: DataFrame, key: str, ordinal: str, shards: int, start: Calla
     return ordered.mapInArrow(run, schema)
 
 
+#: Resting orders of a side that are held besides what is stored.
+HELD = 1 << 14
+
+
+class Side:
+    """Resting orders, best price first, then oldest.  The best are in a heap; beyond
+    ``held`` its worse half goes, as a sorted run of chunks, to ``store``, and the
+    heap keeps the first of each run: (rank, ordinal, qty, run), run 0 being its own."""
+
+    def __init__(self, store, name: str, saved: bytes | None = None, held: int = HELD):
+        self.store, self.name, self.held, self.loaded = store, name, held, {}
+        # runs: by number [chunk, place in it, chunks] of the order after that in the heap.
+        self.heap, self.own, self.runs, self.last = pickle.loads(saved) if saved else ([], 0, {}, 0)
+
+    def saved(self) -> bytes:
+        return pickle.dumps((self.heap, self.own, self.runs, self.last))
+
+    def push(self, rank, ordinal: int, qty: int) -> None:
+        heapq.heappush(self.heap, (rank, ordinal, qty, 0))
+        self.own += 1
+        if self.own > self.held:
+            self._store_half()
+
+    def _store_half(self) -> None:
+        own = sorted(o for o in self.heap if not o[3])
+        keep, out = own[: self.held // 2], own[self.held // 2 :]
+        self.last += 1
+        rest = [o[:3] for o in out[1:]]
+        size = -(-self.held // 16)
+        chunks = [rest[i : i + size] for i in range(0, len(rest), size)]
+        for i, chunk in enumerate(chunks):
+            self.store[self.name, self.last, i] = pickle.dumps(chunk)
+        self.heap = keep + [o for o in self.heap if o[3]] + [(*out[0][:3], self.last)]
+        heapq.heapify(self.heap)
+        self.own, self.runs[self.last] = len(keep), [0, 0, len(chunks)]
+
+    def use(self, n: int) -> None:
+        """Take ``n`` of the best order; what is left of it stays where it is."""
+        rank, ordinal, qty, run = self.heap[0]
+        if n != qty:
+            heapq.heapreplace(self.heap, (rank, ordinal, qty - n, run))
+        elif not run:
+            heapq.heappop(self.heap)
+            self.own -= 1
+        elif (after := self._next(run)) is None:
+            heapq.heappop(self.heap)
+        else:
+            heapq.heapreplace(self.heap, (*after, run))
+
+    def _next(self, run: int) -> tuple | None:
+        chunk, at, chunks = self.runs[run]
+        if chunk == chunks:
+            del self.runs[run]
+            return None
+        if run not in self.loaded:
+            self.loaded[run] = pickle.loads(self.store[self.name, run, chunk])
+        orders = self.loaded[run]
+        self.runs[run] = [chunk, at + 1, chunks]
+        if at + 1 == len(orders):
+            del self.loaded[run], self.store[self.name, run, chunk]
+            self.runs[run] = [chunk + 1, 0, chunks]
+        return orders[at]
+
+
 class Book:
-    """The resting orders of a symbol: a heap a side, best price first, then oldest."""
+    """The resting orders of a symbol.  ``store`` maps (side, run, chunk) to bytes;
+    it has what doesn't fit the heaps, so a book of any size holds few orders itself."""
+
+    def __init__(self, store=None, saved: dict[str, bytes] | None = None, held: int = HELD):
+        store = {} if store is None else store
+        self.sides = {s: Side(store, s, (saved or {}).get(s), held) for s in "BS"}
 
-    def __init__(self):
-        self.sides: dict[str, list] = {"B": [], "S": []}
+    def saved(self) -> dict[str, bytes]:
+        return {s: side.saved() for s, side in self.sides.items()}
 
     def match(self, ordinal: int, side: str, price: float, qty: int) -> Iterator[tuple]:
         """Yield (taker, maker, price, qty) for each fill; what is left rests."""
         other, sign = self.sides["S" if side == "B" else "B"], 1 if side == "B" else -1
-        while qty and other and other[0][0] <= sign * price:
-            rank, maker, resting = other[0]
+        while qty and other.heap and other.heap[0][0] <= sign * price:
+            rank, maker, resting, _ = other.heap[0]
             n = min(qty, resting)
             qty -= n
             yield ordinal, maker, sign * rank, n
-            if n == resting:
-                heapq.heappop(other)
-            else:
-                heapq.heapreplace(other, (rank, maker, resting - n))
+            other.use(n)
         if qty:
-            heapq.heappush(self.sides[side], (-sign * price, ordinal, qty))
+            self.sides[side].push(-sign * price, ordinal, qty)
 
 
 def matching_engine(orders: DataFrame, *, key: str = "symbol", ordinal: str = "ordinal", shards: int = 8) -> DataFrame:

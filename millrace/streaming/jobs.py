@@ -6,9 +6,12 @@ is run again after a failure leaves its rows once.
 
 from __future__ import annotations
 
+import heapq
 import pickle
+import tempfile
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import handlers
-from ..operators.apps import Book
+from ..operators.apps import HELD, Book
 from ..sources.shared import new_path
 
 Sink = Callable[[DataFrame, int], None]
@@ -134,18 +137,79 @@ class InOrder(StatefulProcessor):
         pass
 
 
+#: Rows that are sorted at once, of a block on disk, and of a frame of fills.
+SORTED, BLOCK, OUTPUT = 200_000, 500, 10_000
+
+
+def by_ordinal(frames: Iterable[pd.DataFrame], ordinal: str, columns: list[str]) -> Iterator[tuple]:
+    """The rows of all frames as tuples, in order.  Beyond ``SORTED`` rows sorted
+    runs go to a file of the task and are merged, a block of each at a time."""
+    held, n, runs = [], 0, []
+
+    def rows() -> list[tuple]:
+        made = pd.concat(held)[columns].sort_values(ordinal, kind="stable")
+        return list(zip(*(made[c].tolist() for c in columns)))
+
+    with tempfile.TemporaryFile() as file:
+
+        def read(blocks: list[tuple[int, int]]) -> Iterator[tuple]:
+            for at, size in blocks:
+                file.seek(at)
+                yield from pickle.loads(file.read(size))
+
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            if n >= SORTED:
+                made, blocks = rows(), []
+                for i in range(0, len(made), BLOCK):
+                    blocks.append((file.tell(), file.write(pickle.dumps(made[i : i + BLOCK]))))
+                runs.append(blocks)
+                held, n = [], 0
+        last = rows() if held else []
+        held = []
+        yield from heapq.merge(*map(read, runs), last, key=itemgetter(columns.index(ordinal)))
+
+
+class Stored:
+    """The chunks of a book as entries of a state map, each read and written alone."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def __getitem__(self, key: tuple) -> bytes:
+        return self.state.getValue(key)[0]
+
+    def __setitem__(self, key: tuple, value: bytes) -> None:
+        self.state.updateValue(key, (value,))
+
+    def __delitem__(self, key: tuple) -> None:
+        self.state.removeKey(key)
+
+
 class Matching(StatefulProcessor):
-    """The order book of a symbol; a batch's orders are matched by their ordinal."""
+    """The order book of a symbol; a batch's orders are matched by their ordinal.
+    Neither the batch nor the book nor the fills are held whole."""
+
+    def __init__(self, held: int = HELD):
+        self.held = held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("book", "book binary")
+        self.state = handle.getValueState("book", "buys binary, sells binary")
+        self.stored = Stored(handle.getMapState("orders", "side string, run long, chunk long", "orders binary"))
 
     def handleInputRows(self, key, rows, timerValues):
-        book = pickle.loads(self.state.get()[0]) if self.state.exists() else Book()
-        orders = pd.concat(list(rows)).sort_values("ordinal")
-        fills = [f for o in orders.itertuples(index=False) for f in book.match(int(o.ordinal), o.side, float(o.price), int(o.qty))]
-        self.state.update((pickle.dumps(book),))
-        yield pd.DataFrame([(key[0], *f) for f in fills], columns=["symbol", "taker", "maker", "price", "qty"])
+        saved = dict(zip("BS", map(bytes, self.state.get()))) if self.state.exists() else None
+        book, fills = Book(self.stored, saved, self.held), []
+        frame = lambda: pd.DataFrame(fills, columns=["symbol", "taker", "maker", "price", "qty"])
+        for ordinal, side, price, qty in by_ordinal(rows, "ordinal", ["ordinal", "side", "price", "qty"]):
+            for fill in book.match(int(ordinal), side, float(price), int(qty)):
+                fills.append((key[0], *fill))
+                if len(fills) >= OUTPUT:
+                    yield frame()
+                    fills = []
+        self.state.update((book.saved()["B"], book.saved()["S"]))
+        yield frame()
 
     def close(self) -> None:
         pass
@@ -180,6 +244,7 @@ def fifo_state(stream: DataFrame, key: str, ordinal: str) -> DataFrame:
     return made.groupBy("key").agg(F.max_by("last", "n").alias("last"), F.max_by("late", "n").alias("late"), F.max("n").alias("n")).select("key", "n", "last", "late")
 
 
-def matching(orders: DataFrame) -> DataFrame:
-    """The fills of a stream of orders (symbol, ordinal, side, price, qty)."""
-    return _with_state(orders, "symbol", Matching(), "symbol string, taker long, maker long, price double, qty long", "stream-fills")
+def matching(orders: DataFrame, held: int = HELD) -> DataFrame:
+    """The fills of a stream of orders (symbol, ordinal, side, price, qty); of each
+    side of a book some ``held`` orders are in memory."""
+    return _with_state(orders, "symbol", Matching(held), "symbol string, taker long, maker long, price double, qty long", "stream-fills")

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.functions.hashing import key_shard, pow2, wrapping_affine
 from millrace.functions.ordinals import bounds, most_before, running_sum, with_position
 from millrace.operators import admission, apps, audit, channels, elastic, folds, handlers, receive, routing
+from millrace.streaming import jobs
 
 
 def fnv(key: str) -> int:
@@ -342,3 +344,58 @@ def test_entry_module(spark):
 
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+class Chunks(dict):
+    """A store that knows how many chunks it had at most and were taken out."""
+
+    most = gone = 0
+
+    def __setitem__(self, key, value):
+        super().__setitem__(key, value)
+        self.most = max(self.most, len(self))
+
+    def __delitem__(self, key):
+        super().__delitem__(key)
+        self.gone += 1
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_books_hold_few_orders(wide):
+    """Fills of a book that stores what rests, saved and taken up again at times,
+    are those of one that holds all; so they are with late orders."""
+    rng, store = random.Random(5), Chunks()
+    book, whole = apps.Book(store, held=16), apps.Book(held=10**9)
+    for i in range(6000):
+        price = (rng.randrange(100_000) if wide else rng.randrange(30)) + (-40 if i % 2000 > 1900 else 0) * rng.choice((1, -1))
+        order = (i - rng.choice((0, 0, 50)) * 2 + i % 2 * 10_000, rng.choice("BS"), float(price), rng.randrange(1, 9))
+        assert list(book.match(*order)) == list(whole.match(*order))
+        assert all(side.own <= 16 for side in book.sides.values())
+        if i % 700 == 0:
+            book = apps.Book(store, book.saved(), held=16)
+    assert store.most > 20 and store.gone > 20
+    book = apps.Book(store, book.saved(), held=16)
+    for name in "BS":  # all that rests, to the last
+        order = (10**6, name, 1e9 if name == "B" else -1e9, 10**9)
+        assert list(book.match(*order)) == list(whole.match(*order))
+
+
+def test_rows_are_sorted_in_runs(monkeypatch):
+    monkeypatch.setattr(jobs, "SORTED", 700)
+    rng = random.Random(2)
+    rows = [(rng.randrange(3000), rng.choice("BS"), float(i), i) for i in range(5000)]
+    frames = (pd.DataFrame(rows[i : i + 90], columns=["o", "side", "price", "qty"]) for i in range(0, 5000, 90))
+    assert list(jobs.by_ordinal(frames, "o", ["o", "side", "price", "qty"])) == sorted(rows, key=lambda r: r[0])
+    assert list(jobs.by_ordinal(iter([]), "o", ["o"])) == []
+
+
+def test_streamed_books_are_stored(spark):
+    """Books of more orders than are held, over several batches."""
+    rng = random.Random(3)
+    orders = [(rng.choice("xyz"), i, rng.choice("BS"), float(rng.randrange(400)), rng.randrange(1, 6)) for i in range(3000)]
+    df = spark.createDataFrame(orders, "symbol string, ordinal long, side string, price double, qty long")
+    parts = [df.where(f"ordinal >= {a} and ordinal < {a + 1000}") for a in (0, 1000, 2000)]
+    got = jobs.matching(jobs.source(spark, jobs.in_turns(parts), df.schema, 1), held=16).drop("batch").collect()
+    want = apps.matching_engine(df).collect()
+    key = lambda r: (r.symbol, r.taker, r.maker)
+    assert len(want) > 1000 and sorted(got, key=key) == sorted(want, key=key)
