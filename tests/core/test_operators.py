@@ -84,6 +84,16 @@ def test_positions_of_positions(long_table, stretches):
     assert made.where("a = id + 1 and b = id div 4 + 1").count() == 2_500_000
 
 
+def test_ticks_of_one_loop_are_dealt_out(long_table):
+    """A loop over all rows isn't one task: each thousandth row comes late by 95."""
+    rows = long_table.select("id", (F.col("id") * 10 + F.expr("id div 1000") * 95).alias("at"), F.lit(0).alias("loop"))
+    made = receive.ticks(rows, "id", F.col("at"), 15, ["loop"])
+    late = (F.col("id") % 1000 == 0) & (F.col("id") > 0)
+    assert made.where(F.col("timeouts") == F.when(late, 6).otherwise(0)).count() == 2_500_000
+    dealt = made.groupBy(F.spark_partition_id().alias("part")).agg(F.count("timeouts").alias("n"), F.sum("timeouts").alias("all")).collect()
+    assert max(r.n for r in dealt) < 700_000 and sum(r["all"] for r in dealt) == 6 * 2499
+
+
 def test_running_values_do_not_depend_on_stretches(spark):
     """A key with a third of all rows, nulls, and columns that helpers might be called."""
     rng = random.Random(6)
